@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing, pii, shards, winnow
+from . import chat, decontam, neardup, packing, pii, shards, suffix, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_and_next(_documents(spark, sf_dir))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(_documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary())
 
@@ -60,7 +64,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_fingerprints, op5_packing, op7_chat, op8_near_duplicates, op9_decontam, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_fingerprints, op4_repeats, op5_packing, op7_chat, op8_near_duplicates, op9_decontam, op10_shards)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"

@@ -27,10 +27,10 @@ def power(n: int) -> np.uint64:
 
 
 def kgrams(codes: np.ndarray, k: int) -> np.ndarray:
-    """The unmixed hash of each run of k values; empty if there are fewer."""
-    n = len(codes) - k + 1
+    """The unmixed hash of each run of k values along the last axis; empty if there are fewer."""
+    n = codes.shape[-1] - k + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
+        return np.empty((*codes.shape[:-1], 0), np.uint64)
     whole, length = None, 0
     piece, width, left = codes.astype(np.uint64) + np.uint64(1), 1, k
     while left:
@@ -38,13 +38,13 @@ def kgrams(codes: np.ndarray, k: int) -> np.ndarray:
             if whole is None:
                 whole, length = piece, width
             else:
-                whole = whole[: len(piece) - length] * power(width) + piece[length:]
+                whole = whole[..., : piece.shape[-1] - length] * power(width) + piece[..., length:]
                 length += width
         left >>= 1
         if left:
-            piece = piece[:-width] * power(width) + piece[width:]
+            piece = piece[..., :-width] * power(width) + piece[..., width:]
             width *= 2
-    return whole[:n]
+    return whole[..., :n]
 
 
 def window_minima(values: np.ndarray, window: int) -> np.ndarray:

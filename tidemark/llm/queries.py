@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing, pii, shards, suffix, winnow
+from . import chat, decontam, neardup, packing, pii, quality, shards, suffix, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = quality.scores(docs, *quality.model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % quality.FOLDS == quality.HELD_OUT
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_and_next(_documents(spark, sf_dir))
 
@@ -64,7 +71,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_fingerprints, op4_repeats, op5_packing, op7_chat, op8_near_duplicates, op9_decontam, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_repeats, op5_packing, op7_chat, op8_near_duplicates, op9_decontam, op10_shards)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"

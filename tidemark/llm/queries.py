@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing, pii, quality, shards, suffix, winnow
+from . import chat, decontam, licenses, neardup, packing, pii, quality, shards, suffix, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary())
 
 
+#: Documents have no paths; a source is taken for a directory, with a folder for every so many ids.
+FOLDER = 100
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.floor(F.coalesce("doc_id", F.lit(0)) / FOLDER).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), folder, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    files = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("id", "doc_id")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
@@ -71,7 +82,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_repeats, op5_packing, op7_chat, op8_near_duplicates, op9_decontam, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_repeats, op5_packing, op6_licenses, op7_chat, op8_near_duplicates, op9_decontam, op10_shards)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"

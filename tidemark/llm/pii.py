@@ -15,6 +15,7 @@ import hashlib
 import re
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,8 +202,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced; a null text stays null. n_chars, if there, follows."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if not t or not (f := find(t)) else replace(t, f))

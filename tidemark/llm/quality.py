@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -220,8 +221,6 @@ def scores(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
 
 def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores at least the threshold, with all their columns."""
-    import pandas as pd
-
     vectors, network = model(docs, labels)
     memo: list = []
 

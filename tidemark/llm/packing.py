@@ -29,48 +29,41 @@ ORDER_BITS = 10
 HASHED = 512
 
 
-def hilbert(point: list[int], bits: int = ORDER_BITS) -> int:
-    """Distance along the Hilbert curve of a point with coordinates below 2**bits."""
-    x, n = list(point), len(point)
-    top = 1 << (bits - 1)
-    # Undo the rotations from the finest bit's exchange up to the coarsest.
-    q = top
-    while q > 1:
-        low = q - 1
-        for i in range(n):
-            if x[i] & q:
-                x[0] ^= low
-            else:
-                swap = (x[0] ^ x[i]) & low
-                x[0] ^= swap
-                x[i] ^= swap
-        q >>= 1
-    for i in range(1, n):
-        x[i] ^= x[i - 1]
-    flip, q = 0, top
-    while q > 1:
-        if x[n - 1] & q:
-            flip ^= q - 1
-        q >>= 1
-    distance = 0
+def hilbert(points: np.ndarray, bits: int = ORDER_BITS) -> np.ndarray:
+    """Distance along the Hilbert curve of each row of coordinates, all below 2**bits."""
+    x = [points[:, i].astype(np.int64) for i in range(points.shape[1])]
+    # From the coarsest bit on, each quadrant's part of the curve is mirrored or turned; this undoes it.
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
+        for i in range(len(x)):
+            turned = (x[i] >> b & 1).astype(bool)
+            swap = np.where(turned, 0, (x[0] ^ x[i]) & low)
+            x[0] = np.where(turned, x[0] ^ low, x[0] ^ swap)
+            x[i] = x[i] ^ swap if i else x[0]
+    for i in range(1, len(x)):
+        x[i] = x[i] ^ x[i - 1]
+    flip = np.zeros(len(points), np.int64)
+    for b in range(bits - 1, 0, -1):
+        flip ^= (x[-1] >> b & 1) * ((1 << b) - 1)
+    distance = np.zeros(len(points), np.int64)
     for b in range(bits - 1, -1, -1):
         for v in x:
             distance = distance << 1 | ((v ^ flip) >> b & 1)
     return distance
 
 
-def _projection() -> np.ndarray:
-    signs = np.random.default_rng(20240501).choice([-1.0, 1.0], (HASHED, DIMENSIONS))
-    return signs.astype(np.float64)
+_PROJECTION = np.random.default_rng(20240501).choice([-1.0, 1.0], (HASHED, DIMENSIONS))
+_SLOT = ((np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(23)).astype(np.int64)
 
 
-def curve_key(ids: np.ndarray, projection: np.ndarray) -> int:
-    """Hashed counts of ids, square-rooted and scaled to length 1, projected, squashed to the grid."""
-    slots = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(23)
-    counts = np.sqrt(np.bincount(slots, minlength=HASHED))
-    places = counts @ projection / max(1.0, float(np.sqrt((counts * counts).sum())))
-    grid = (1 << ORDER_BITS) - 1
-    return hilbert([int(grid / (1.0 + np.exp(-p / 2))) for p in places])
+def curve_keys(rows: list[bytes]) -> np.ndarray:
+    """For each document its hashed counts of ids, square-rooted and scaled to length 1, projected, squashed to the grid."""
+    counts = np.empty((len(rows), HASHED))
+    for i, data in enumerate(rows):
+        counts[i] = np.bincount(_SLOT[np.frombuffer(data, "<u2")], minlength=HASHED)
+    counts = np.sqrt(counts)
+    places = counts @ _PROJECTION / np.maximum(1.0, np.linalg.norm(counts, axis=1, keepdims=True))
+    return hilbert((((1 << ORDER_BITS) - 1) / (1.0 + np.exp(-places / 2))).astype(np.int64))
 
 
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -81,19 +74,15 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import WordTokenizer
+        from .tokens import word_tokenizer
 
-        tokenizer, projection = WordTokenizer(vocabulary), _projection()
+        tokenizer = word_tokenizer(vocabulary)
         closing = np.array([CLOSING], "<u2").tobytes()
         for batch in batches:
-            out = {"doc_id": batch.column(0), "spot": [], "tokens": [], "ids": []}
-            for data, tie in zip(tokenizer.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
-                data += closing
-                key = curve_key(np.frombuffer(data, "<u2"), projection)
-                out["spot"].append(key << 32 | tie)
-                out["tokens"].append(len(data) // 2)
-                out["ids"].append(data)
-            yield record_batch(out, target)
+            if batch.num_rows:
+                rows = [data + closing for data in tokenizer.encode(batch.column(1).to_pylist())]
+                spots = curve_keys(rows) << 32 | batch.column(2).to_numpy()
+                yield record_batch({"doc_id": batch.column(0), "spot": pa.array(spots), "tokens": [len(data) // 2 for data in rows], "ids": rows}, target)
 
     tie = F.shiftrightunsigned(F.xxhash64("k1", "k2"), 32)
     return keyed(docs).select("doc_id", "text", tie.alias("tie")).mapInArrow(run, schema)

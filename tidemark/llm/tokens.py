@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -11,7 +12,9 @@ import numpy as np
 #: in them but case and white space. Others, and texts with the strings of special tokens, go whole to the tokenizer.
 _SIMPLE = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-MEMO = 400_000
+#: Chunks and words remembered; both memos are emptied when full. Some 200 bytes an entry.
+MEMO = 600_000
+MEMO_WORDS = 400_000
 
 
 class WordTokenizer:
@@ -22,22 +25,30 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # The same model for words that are cut and lower-cased already: no normaliser, white space only.
+        plain = json.loads(self.library.to_str())
+        plain["normalizer"] = None
+        plain["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.bare = Tokenizer.from_str(json.dumps(plain))
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        """Ids of chunks without white space: all their words in one call, cut apart where words end."""
-        split = [(c, _WORDS.findall(c)) for c in chunks]
-        words = list({w for _, ws in split for w in ws})
-        own = {}
+        """Ids of chunks without white space; unknown words go to the library in one text, cut apart where words end."""
+        split = [(c, (c,) if c.isalpha() else (c[:-1], c[-1]) if c[:-1].isalpha() and c[-1] in ",.:;!?" else _WORDS.findall(c)) for c in chunks]
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        own = self.words
+        words = list({w for _, ws in split for w in ws}.difference(own))
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 data, begin = ids.tobytes(), 0
@@ -54,8 +65,18 @@ class WordTokenizer:
         if len(self.memo) > MEMO:
             self.memo.clear()
         cut = [t.lower().split() if "<|" not in t and _SIMPLE.fullmatch(t) else None for t in texts]
-        new = {c for chunks in cut if chunks for c in chunks}.difference(self.memo)
+        new = set().union(*filter(None, cut)).difference(self.memo)
         if new:
             self._learn(new)
         get = self.memo.__getitem__
         return [self._slow(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut, strict=True)]
+
+
+_LOADED: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each file and Python process, so that tasks of one worker share its memo."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokenizer(path)
+    return _LOADED[path]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,55 +16,64 @@ DATE_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "
 DAY_FIRST_SAMPLE = 5000
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c with c evaluated once, however often f uses it, so that plans do not grow with nesting."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.trim(F.regexp_replace(c.cast("string"), " ", " "))
 
 
-def is_blank(c: Column | str) -> Column:
-    t = text(c)
+def _blank(t: Column) -> Column:
     return t.isNull() | F.lower(t).isin(BLANKS)
 
 
+def is_blank(c: Column | str) -> Column:
+    return bound(text(c), _blank)
+
+
 def clean(c: Column | str) -> Column:
-    return F.when(~is_blank(c), text(c))
+    return bound(text(c), lambda t: F.when(~_blank(t), t))
 
 
 def number(c: Column | str) -> Column:
     """value, ambiguous. The last separator is the decimal one; one that repeats, or a single one before exactly three digits, parts thousands (the latter is ambiguous)."""
-    raw = clean(c)
-    bare = F.regexp_replace(F.regexp_replace(raw, r"(?i)eur|usd|gbp|[€$£]", ""), r"[\s ]", "")
-    negative = bare.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(bare, r"[()]", "")
-    commas, dots = (F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in (",", "."))
-    comma_at, dot_at = F.length(F.substring_index(bare, ",", -1)), F.length(F.substring_index(bare, ".", -1))
-    no_commas, no_dots = F.replace(bare, F.lit(","), F.lit("")), F.replace(bare, F.lit("."), F.lit(""))
-    single = (commas + dots) == 1
-    three = bare.rlike(r"^[+-]?\d{1,3}[.,]\d{3}$") & ~bare.rlike(r"^[+-]?0[.,]")
+    bare = F.regexp_replace(F.regexp_replace(clean(c), r"(?i)eur|usd|gbp|[€$£]", ""), r"[\s ]", "")
+    return bound(bare, _number)
+
+
+def _number(bare: Column) -> Column:
+    return bound(F.struct(bare.rlike(r"^\(.*\)$").alias("negative"), F.regexp_replace(bare, r"[()]", "").alias("t")), lambda x: _signed(x["negative"], x["t"]))
+
+
+def _signed(negative: Column, t: Column) -> Column:
+    commas, dots = (F.length(t) - F.length(F.replace(t, F.lit(s), F.lit(""))) for s in (",", "."))
+    no_commas, no_dots = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit("."), F.lit(""))
+    comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
+    three = t.rlike(r"^[+-]?[1-9]\d{0,2}[.,]\d{3}$")
     plain = (
-        F.when((commas > 0) & (dots > 0), F.when(comma_at < dot_at, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas))
-        .when((commas > 1) | (dots > 1) | (single & three), F.replace(no_commas, F.lit("."), F.lit("")))
-        .when(commas == 1, F.replace(bare, F.lit(","), F.lit(".")))
-        .otherwise(bare)
+        F.when((commas > 0) & (dots > 0), F.when(comma_last, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas))
+        .when((commas > 1) | (dots > 1) | three, F.replace(no_commas, F.lit("."), F.lit("")))
+        .when(commas == 1, F.replace(t, F.lit(","), F.lit(".")))
+        .otherwise(t)
     )
-    value = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain).try_cast("double")
-    value = F.when(negative, -value).otherwise(value)
-    return F.struct(value.alias("value"), F.coalesce(single & three & value.isNotNull(), F.lit(False)).alias("ambiguous"))
+    value = bound(plain, lambda p: F.when(p.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), p).try_cast("double"))
+    return F.struct(F.when(negative, -value).otherwise(value).alias("value"), F.coalesce(three, F.lit(False)).alias("ambiguous"))
 
 
 def boolean(c: Column | str) -> Column:
     """1, 0 or null; other numbers are 1 if positive."""
-    low = F.lower(clean(c))
-    n = number(c)["value"]
-    return F.when(low.isin(YES), 1).when(low.isin(NO), 0).when(n.isNotNull(), (n > 0).cast("int"))
+    pair = F.struct(F.lower(clean(c)).alias("low"), number(c)["value"].alias("n"))
+    return bound(pair, lambda p: F.when(p["low"].isin(YES), 1).when(p["low"].isin(NO), 0).when(p["n"].isNotNull(), (p["n"] > 0).cast("int")))
 
 
 def capped_count(c: Column | str) -> Column:
     """count, capped: `10+` is 10 and capped."""
-    t = clean(c)
-    top = F.regexp_extract(t, r"^(\d+)\s*\+$", 1)
-    n = F.when(top != "", top.cast("double")).otherwise(number(c)["value"])
-    return F.struct(n.alias("count"), F.when(n.isNotNull(), (top != "").cast("int")).alias("capped"))
+    pair = F.struct(F.regexp_extract(clean(c), r"^(\d+)\s*\+$", 1).try_cast("double").alias("top"), number(c)["value"].alias("n"))
+    n = lambda p: F.coalesce(p["top"], p["n"])
+    return bound(pair, lambda p: F.struct(n(p).alias("count"), F.when(n(p).isNotNull(), p["top"].isNotNull().cast("int")).alias("capped")))
 
 
 def date(c: Column | str, day_first: bool = True) -> Column:
@@ -72,9 +82,8 @@ def date(c: Column | str, day_first: bool = True) -> Column:
     if not day_first:
         a, b = patterns.index("d/M/yyyy"), patterns.index("M/d/yyyy")
         patterns[a], patterns[b] = patterns[b], patterns[a]
-    t = clean(c)
-    t = F.regexp_replace(F.initcap(F.lower(t)), r"(\d)t(\d)", "$1T$2")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in patterns], t.try_cast("timestamp")).cast("date")
+    tidy = F.regexp_replace(F.initcap(F.lower(clean(c))), r"(\d)t(\d)", "$1T$2")
+    return bound(tidy, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in patterns], t.try_cast("timestamp")).cast("date"))
 
 
 def day_first(df: DataFrame, column: str, sample: int = DAY_FIRST_SAMPLE) -> DataFrame:
@@ -87,47 +96,53 @@ def day_first(df: DataFrame, column: str, sample: int = DAY_FIRST_SAMPLE) -> Dat
 
 def dates_in(c: Column | str) -> Column:
     """The parts of a cell with several dates, as text: a JSON list, or parted by semicolons or bars."""
-    t = clean(c)
-    listed = F.when(t.startswith("["), F.from_json(F.replace(t, F.lit("'"), F.lit('"')), "array<string>"))
-    parts = F.coalesce(listed, F.split(t, r"[;|]"))
-    return F.coalesce(F.filter(F.transform(parts, F.trim), lambda p: ~is_blank(p)), F.array().cast("array<string>"))
+    def parts(t: Column) -> Column:
+        listed = F.when(t.startswith("["), F.from_json(F.replace(t, F.lit("'"), F.lit('"')), "array<string>"))
+        return F.coalesce(listed, F.split(t, r"[;|]"))
+
+    return F.coalesce(F.filter(F.transform(bound(clean(c), parts), lambda p: F.trim(p)), _blank_not), F.array().cast("array<string>"))
+
+
+def _blank_not(t: Column) -> Column:
+    return ~_blank(t)
 
 
 def category(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
     """Lower case, by an alias if there is one, else with runs of other characters as underscores, by an alias again."""
     low = F.lower(clean(c))
-    snake = F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    snake = lambda t: F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
     if not aliases:
-        return F.nullif(snake, F.lit(""))
+        return F.nullif(snake(low), F.lit(""))
     known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, low), F.try_element_at(known, snake), F.nullif(snake, F.lit("")))
+    pair = bound(low, lambda t: F.struct(t.alias("low"), snake(t).alias("snake")))
+    return bound(pair, lambda p: F.coalesce(F.try_element_at(known, p["low"]), F.try_element_at(known, p["snake"]), F.when(p["snake"] != "", p["snake"])))
 
 
 def keyed_number(c: Column | str, keys: list[str]) -> Column:
     """The number under one of keys in a JSON object, or behind a key in text, or the cell as a number."""
-    t = clean(c)
-    json = F.replace(t, F.lit("'"), F.lit('"'))
-    found = [number(F.get_json_object(json, f"$.{k}"))["value"] for k in keys]
-    found += [F.regexp_extract(t, rf"(?i){k}\D{{0,3}}(\d+)", 1).try_cast("double") for k in keys]
-    return F.coalesce(*found, number(c)["value"])
+
+    def found(t: Column) -> Column:
+        json = F.replace(t, F.lit("'"), F.lit('"'))
+        keyed = F.coalesce(*[F.get_json_object(json, f"$.{k}") for k in keys])
+        loose = [F.regexp_extract(t, rf"(?i){k}\D{{0,3}}(\d+)", 1).try_cast("double") for k in keys]
+        return F.coalesce(number(keyed)["value"], *loose, number(t)["value"])
+
+    return bound(clean(c), found)
 
 
 def postcode_area(c: Column | str) -> Column:
     """Leading letters (up to three) in capitals, else the first two digits."""
-    t = F.upper(clean(c))
-    letters, digits = F.regexp_extract(t, r"^([A-Z]{1,3})", 1), F.regexp_extract(t, r"(\d{2})", 1)
-    return F.when(letters != "", letters).when(digits != "", digits)
+    pair = bound(F.upper(clean(c)), lambda t: F.struct(F.regexp_extract(t, r"^([A-Z]{1,3})", 1).alias("a"), F.regexp_extract(t, r"(\d{2})", 1).alias("d")))
+    return bound(pair, lambda p: F.when(p["a"] != "", p["a"]).when(p["d"] != "", p["d"]))
 
 
 def age(c: Column | str) -> Column:
-    n = number(c)["value"]
-    return F.when((n >= 16) & (n <= 110), n)
+    return bound(number(c)["value"], lambda n: F.when((n >= 16) & (n <= 110), n))
 
 
 def share(c: Column | str) -> Column:
     """A fraction; above 1 it was a percentage."""
-    n = number(c)["value"]
-    return F.when(n > 1, n / 100).otherwise(n)
+    return bound(number(c)["value"], lambda n: F.when(n > 1, n / 100).otherwise(n))
 
 
 @dataclass(frozen=True)

@@ -53,10 +53,11 @@ class Run:
         }
 
 
-def run(spark: SparkSession, spec: Spec) -> Run:
+def run(spark: SparkSession, spec: Spec, tables: dict[str, DataFrame] | None = None) -> Run:
+    """tables: `entity` and the event logs, where these are not to be read from the paths of the specification."""
     out = Run(spark)
     seed = int(spec.options["run"]["random_seed"])
-    data = readers.dataset(spark, spec)
+    data = readers.dataset(spark, spec, tables=tables)
     when = time.resolve(data.entity, data.events, spec)
     days = time.calendar(spec, when)
     entity = readers.current(data.entity, spec)

@@ -93,12 +93,15 @@ def orphans(log: DataFrame, entity: DataFrame, id_column: str) -> DataFrame:
     return log.join(entity.select(id_column), id_column, "left_anti")
 
 
-def dataset(spark: SparkSession, spec: Spec, check: bool = True) -> Dataset:
+def dataset(spark: SparkSession, spec: Spec, check: bool = True, tables: dict[str, DataFrame] | None = None) -> Dataset:
     notes: list[str] = list(spec.notes)
-    entity = entities(read(spark, spec.entity_path, spec.entity_format, (spec.id_column,)), spec, notes, check)
+    given = tables or {}
+    entity = given["entity"] if "entity" in given else read(spark, spec.entity_path, spec.entity_format, (spec.id_column,))
+    entity = entities(entity, spec, notes, check)
     logs = {}
     for log in spec.logs.values():
-        logs[log.name] = events(read(spark, log.path, log.format, (log.id_column,)), log, spec.id_column)
+        raw = given[log.name] if log.name in given else read(spark, log.path, log.format, (log.id_column,))
+        logs[log.name] = events(raw, log, spec.id_column)
         if check:
             strays = orphans(logs[log.name], entity, spec.id_column).count()
             if strays:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,14 +52,14 @@ def shared_dir(spark: SparkSession) -> str:
     return set_before
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it: lineage ends, every executor sees it.
 
     The table is removed when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -102,3 +103,19 @@ def record_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
 
 def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+_MEMO: dict[str, object] = {}
+
+
+def memo(kind: str, make):
+    """What `make` gave for this kind in this Python process; that of any other kind is let go first.
+
+    Workers serve tasks of many stages. So tasks of one stage share what they have learnt, and a
+    worker holds the memo of one stage at a time.
+    """
+    if kind not in _MEMO:
+        _MEMO.clear()
+        gc.collect()
+        _MEMO[kind] = make()
+    return _MEMO[kind]

@@ -91,7 +91,7 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
     spark = docs.sparkSession
-    table = materialize(tokenized(docs, vocabulary), "ids")
+    table = materialize(tokenized(docs, vocabulary), "ids", "snappy")  # ids hardly shrink
     n = partitions(spark)
     # Range bounds: quantiles of the place in the order, as many as there are partitions.
     quantiles = table.agg(F.percentile_approx("spot", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]

@@ -13,8 +13,8 @@ import numpy as np
 _SIMPLE = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Chunks and words remembered; both memos are emptied when full. Some 200 bytes an entry.
-MEMO = 600_000
-MEMO_WORDS = 400_000
+MEMO = 1_000_000
+MEMO_WORDS = 700_000
 
 
 class WordTokenizer:
@@ -40,25 +40,30 @@ class WordTokenizer:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        """Ids of chunks without white space; unknown words go to the library in one text, cut apart where words end."""
-        split = [(c, (c,) if c.isalpha() else (c[:-1], c[-1]) if c[:-1].isalpha() and c[-1] in ",.:;!?" else _WORDS.findall(c)) for c in chunks]
+        """Ids of chunks without white space: of one word, of a word and a mark, or of whatever the pattern finds."""
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
-        own = self.words
-        words = list({w for _, ws in split for w in ws}.difference(own))
+        own, memo = self.words, self.memo
+        plain = [c for c in chunks if c.isalpha()]
+        marked = [(c, c[:-1], c[-1]) for c in chunks if c[-1] in ",.:;!?" and c[:-1].isalpha()]
+        rest = [(c, _WORDS.findall(c)) for c in chunks.difference(plain, [m[0] for m in marked])]
+        unknown = set(plain)
+        for group in (*marked, *(ws for _, ws in rest)):
+            unknown.update(group)
+        unknown.difference_update(own, [m[0] for m in marked])
+        words = list(unknown)
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                data, begin = ids.tobytes(), 0
-                for w, end in zip(some, (cuts * 2).tolist(), strict=True):
-                    own[w] = data[begin:end]
-                    begin = end
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                own.update(zip(some, [data[i:j] for i, j in zip([0, *ends], ends)]))
             else:
                 own.update((w, self._slow(w)) for w in some)
-        for c, ws in split:
-            self.memo[c] = own[ws[0]] if len(ws) == 1 else b"".join([own[w] for w in ws])
+        memo.update(zip(plain, map(own.__getitem__, plain)))
+        memo.update([(c, own[w] + own[m]) for c, w, m in marked])
+        memo.update([(c, b"".join(map(own.__getitem__, ws))) for c, ws in rest])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 16-bit numbers."""
@@ -72,11 +77,8 @@ class WordTokenizer:
         return [self._slow(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut, strict=True)]
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each file and Python process, so that tasks of one worker share its memo."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    from .common import memo
+
+    return memo(f"tokens {path}", lambda: WordTokenizer(path))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_map, arrow_schema, keyed, materialize, partitions, record_batch, text_of
+from .common import NO_ID, arrow_map, arrow_schema, keyed, materialize, memo, partitions, record_batch, text_of
 from .graph import components
 
 #: Links: 100 * shared >= PERCENT * all.
@@ -45,10 +45,10 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batch):
         from . import sketch
 
-        memo = run.__dict__.setdefault("memo", sketch.Words())
+        words = memo("shingles", sketch.Words)
         out = {"doc_id": batch.column(0), "k1": batch.column(2), "k2": batch.column(3), "n": [], "id": [], "bands": [], "registers": []}
         for text in batch.column(1).to_pylist():
-            own = sketch.shingles(text, memo, width)
+            own = sketch.shingles(text, words, width)
             out["n"].append(len(own))
             regs = sketch.registers(own) if len(own) else None
             out["id"].append(xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own) & 0xFFFF) - 2**63)
@@ -177,7 +177,7 @@ def links(docs: DataFrame, sketched: DataFrame, width: int = WIDTH, block: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import sketch
 
-        memo, held, ids, sets = sketch.Words(), None, [], []
+        words, held, ids, sets = memo("shingles", sketch.Words), None, [], []
 
         def close() -> pa.RecordBatch:
             found = spanning_links(sets)
@@ -191,7 +191,7 @@ def links(docs: DataFrame, sketched: DataFrame, width: int = WIDTH, block: int =
                     held, ids, sets = task, [], []
                 if not ids or ids[-1] != node:
                     ids.append(node)
-                    sets.append(sketch.shingles(text, memo, width))
+                    sets.append(sketch.shingles(text, words, width))
         if len(ids) > 1:
             yield close()
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_of
+from .common import arrow_map, memo, text_of
 
 #: Order of kinds in every digest and list of spans.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "aws_key", "api_key", "password", "local_phone", "mac")
@@ -204,6 +204,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced; a null text stays null. n_chars, if there, follows."""
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
+        memo("spans", dict)
         return texts.map(lambda t: t if not t or not (f := find(t)) else replace(t, f))
 
     columns = docs.columns

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, keyed, record_batch, small_batches, text_of
+from .common import arrow_map, arrow_schema, keyed, memo, record_batch, small_batches, text_of
 
 VOCABULARY = 1 << 14
 DIMENSIONS = 32
@@ -46,17 +47,31 @@ _SIGNS = _random.choice([-1.0, 1.0], (VOCABULARY, NONZERO))
 _CLASSES = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "0"), (re.compile(r"(.)\1+"), r"\1")]
 
 
+def shape_of(word: str) -> str:
+    """A for capitals, a for small letters, 0 for digits, marks as they are; runs shortened to one."""
+    body, tail = (word[:-1], word[-1]) if word[-1] in ",.;:!?" else (word, "")
+    if body.isalpha():
+        if body.islower():
+            return "a" + tail
+        if body.isupper():
+            return "A" + tail
+        if body[0].isupper() and body[1:].islower():
+            return "Aa" + tail
+    shape = word[:64]
+    for pattern, sign in _CLASSES:
+        shape = pattern.sub(sign, shape)
+    return shape
+
+
 class Codes(dict):
     """Word to word bucket << 16 | shape bucket, remembered; forgotten when they are many."""
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.LIMIT:
             self.clear()
-        shape = word[:64]
-        for pattern, sign in _CLASSES:
-            shape = pattern.sub(sign, shape)
+        shape = shape_of(word)
         a = xxhash.xxh3_64_intdigest(word) % (VOCABULARY - _SHAPES) + _SHAPES
         b = xxhash.xxh3_64_intdigest(shape[:8]) % (_SHAPES - 1) + 1
         value = self[word] = a << 16 | b
@@ -67,7 +82,7 @@ def encode(texts: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.n
     """Word buckets, shape buckets and document numbers of all words of the texts, in order."""
     lists = [t.split() for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
-    both = np.fromiter((c for words in lists for c in map(codes.__getitem__, words)), np.int64, len(owner))
+    both = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int64, len(owner))
     words, shapes = both >> 16, both & 0xFFFF
     for lag in (1, 2):
         again = (both[lag:] == both[:-lag]) & (owner[lag:] == owner[:-lag])
@@ -93,7 +108,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total = Codes(), np.zeros(VOCABULARY * DIMENSIONS)
+        codes, total = memo("codes", Codes), np.zeros(VOCABULARY * DIMENSIONS)
         for batch in batches:
             words, shapes, owner = encode(batch.column(0).to_pylist(), codes)
             if len(words):
@@ -192,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label: str =
     rows = keyed(docs).select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("doc_id", "text", "y")
 
     def run(batch):
-        codes = run.__dict__.setdefault("codes", Codes())
+        codes = memo("codes", Codes)
         return {"doc_id": batch.column(0), "y": batch.column(2), "x": list(pooled(batch.column(1).to_pylist(), codes, vectors))}
 
     got = arrow_map(rows, run, "doc_id long, y int, x array<float>").toArrow()
@@ -213,7 +228,7 @@ def scores(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
     """doc_id, score for each row of docs."""
 
     def run(batch):
-        codes = run.__dict__.setdefault("codes", Codes())
+        codes = memo("codes", Codes)
         return {"doc_id": batch.column(0), "score": network.scores(pooled(batch.column(1).to_pylist(), codes, vectors))}
 
     return arrow_map(keyed(docs).select("doc_id", "text"), run, "doc_id long, score double")
@@ -222,12 +237,8 @@ def scores(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
 def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores at least the threshold, with all their columns."""
     vectors, network = model(docs, labels)
-    memo: list = []
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        if not memo:
-            memo.append(Codes())
-        return pd.Series(network.scores(pooled(texts.tolist(), memo[0], vectors)), dtype=float)
+        return pd.Series(network.scores(pooled(texts.tolist(), memo("codes", Codes), vectors)), dtype=float)
 
     return docs.filter(score(text_of()) >= threshold)

@@ -22,7 +22,7 @@ _BAND_SALTS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).reshape(BANDS, R
 class Words(dict):
     """Hashes of words, remembered; forgotten when they are many."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.LIMIT:

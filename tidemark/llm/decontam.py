@@ -21,6 +21,7 @@ from .common import keyed, materialize, text_of
 
 WINDOW = 10
 BROADCAST_WINDOWS = 200_000
+BLOCK = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, before A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -82,16 +83,21 @@ def anchors(found: DataFrame, counts: DataFrame) -> DataFrame:
 def index(docs: DataFrame, terms: DataFrame, reach: int, small: bool) -> DataFrame:
     """Postings of the given loose terms: k1, k2, position, loose, from_pos, around.
 
-    around holds the words, folded, from position from_pos on, up to `reach` on either side.
+    around holds the words, folded, from position from_pos on, up to `reach` on either side. Texts
+    are cut into blocks of words first, with `reach` words more on both sides, so that no posting
+    drags a whole text along.
     """
-    at = F.greatest(F.col("position") - reach, F.lit(0))
+    low = F.greatest(F.col("base") - reach, F.lit(0))
+    blocks = keyed(docs).select("k1", "k2", pieces(F.col("text")).alias("pieces")).select("k1", "k2", "pieces", F.explode(F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(BLOCK))).alias("base"))
+    blocks = blocks.select("k1", "k2", "base", low.alias("low"), F.slice("pieces", low + 1, F.col("base") - low + BLOCK + reach).alias("words"))
+    at = F.greatest(F.col("place") - reach, F.lit(0))
     return (
-        keyed(docs)
-        .select("k1", "k2", pieces(F.col("text")).alias("pieces"))
-        .select("k1", "k2", "pieces", F.posexplode("pieces").alias("position", "word"))
+        blocks.select("k1", "k2", "base", "low", "words", F.posexplode("words").alias("place", "word"))
+        .withColumn("position", F.col("low") + F.col("place"))
+        .filter((F.col("position") >= F.col("base")) & (F.col("position") < F.col("base") + BLOCK))
         .withColumn("loose", F.lower("word"))
         .join(_hint(terms, small), "loose")
-        .select("k1", "k2", "position", "loose", at.alias("from_pos"), F.transform(F.slice("pieces", at + 1, F.col("position") - at + reach + 1), fold).alias("around"))
+        .select("k1", "k2", "position", "loose", (F.col("low") + at).alias("from_pos"), F.transform(F.slice("words", at + 1, F.col("place") - at + reach + 1), fold).alias("around"))
     )
 
 

@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation.
 
 Documents start in a shard by a hash. In each round, linked documents learn from joins which
-shard most of their neighbours' weight is in; a half of them, drawn by a hash, may ask to move
-there, and the driver grants flows between shards: what two shards exchange, and what room a shard has.
+shard most of their neighbours are in and may ask to move there: in odd rounds documents of the
+least id among their neighbours, in even rounds the others (half of those with several neighbours,
+drawn by a hash), so that neighbours do not swap places for ever. The driver grants flows between shards: what two shards exchange, and what room a shard has.
 Grants are thresholds on hash bins, so the driver holds shards x shards x BINS sums, never rows.
 Last, shards over their share give away bins of documents, unlinked ones first, to shards under it.
 
@@ -25,6 +26,7 @@ ROUNDS = 6
 BINS = 128
 FINE_BINS = 2048
 SLACK = 0.02
+_COLUMNS = ("id", "size", "linked", "shard", "least", "degree")
 
 
 def _bin(salt: int, bins: int, *columns: str):
@@ -35,8 +37,8 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     """nodes: id, size; links: src, dst (ids, any order, at most one row per pair). id, size, linked, shard."""
     both = links.select("src", "dst").union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src != dst")
     both = materialize(both, "links")
-    tied = both.select(F.col("src").alias("id")).distinct()
-    start = nodes.join(tied.withColumn("linked", F.lit(True)), "id", "left").select("id", "size", F.coalesce("linked", F.lit(False)).alias("linked"), _bin(0, shards, "id").alias("shard"))
+    tied = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("first"), F.count(F.lit(1)).alias("degree"))
+    start = nodes.join(tied, "id", "left").select("id", "size", F.col("degree").isNotNull().alias("linked"), _bin(0, shards, "id").alias("shard"), (F.col("first") > F.col("id")).alias("least"), "degree")
     start = materialize(start, "nodes")
     loads = {r["shard"]: r["s"] for r in start.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
     total = sum(loads.values())
@@ -47,7 +49,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         if not moved:
             break
     loose = start.filter("not linked")
-    return _level(loose.unionByName(moving), shards)
+    return _level(loose.unionByName(moving).select("id", "size", "linked", "shard"), shards)
 
 
 def _round(moving: DataFrame, both: DataFrame, shards: int, turn: int, loads: dict, total: int):
@@ -57,12 +59,13 @@ def _round(moving: DataFrame, both: DataFrame, shards: int, turn: int, loads: di
     best = best.select(F.col("src").alias("id"), (-F.col("b.minus")).alias("to"), F.col("b.w").alias("w"), "all")
     now = moving.join(best, "id", "left")
     gain = F.col("w") - F.coalesce(F.element_at("all", F.col("shard")), F.lit(0))
-    asks = (F.col("to") != F.col("shard")) & (gain > 0) & (_bin(1000 + turn, 2, "id") == 0)
-    now = now.select("id", "size", "linked", "shard", F.when(asks, F.col("to")).otherwise(F.col("shard")).alias("to"), _bin(turn, BINS, "id").alias("bin"))
+    free = F.col("least") if turn % 2 else ~F.col("least") & ((F.col("degree") == 1) | (_bin(1000 + turn, 2, "id") == 0))
+    asks = (F.col("to") != F.col("shard")) & (gain > 0) & free
+    now = now.select(*_COLUMNS,  F.when(asks, F.col("to")).otherwise(F.col("shard")).alias("to"), _bin(turn, BINS, "id").alias("bin"))
     now = materialize(now, f"round{turn}")
     asked = now.filter("to != shard").groupBy("shard", "to", "bin").agg(F.sum("size").alias("s")).collect()
     if not asked:
-        return now.select("id", "size", "linked", "shard"), turn < ROUNDS and turn < 2
+        return now.select(*_COLUMNS), turn == 1
     demand: dict = defaultdict(int)
     for r in asked:
         demand[r["shard"], r["to"]] += r["s"]
@@ -91,9 +94,9 @@ def _round(moving: DataFrame, both: DataFrame, shards: int, turn: int, loads: di
         loads[a] = loads.get(a, 0) - done
         loads[b] = loads.get(b, 0) + done
     if not limits:
-        return now.select("id", "size", "linked", "shard"), False
+        return now.select(*_COLUMNS), turn == 1
     granted = now.sparkSession.createDataFrame(limits, "shard int, to int, bin int").withColumn("ok", F.lit(True))
-    out = now.join(F.broadcast(granted), ["shard", "to", "bin"], "left").select("id", "size", "linked", F.when(F.col("ok"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
+    out = now.join(F.broadcast(granted), ["shard", "to", "bin"], "left").select("id", "size", "linked", F.when(F.col("ok"), F.col("to")).otherwise(F.col("shard")).alias("shard"), "least", "degree")
     return out, True
 
 
@@ -112,6 +115,8 @@ def _level(nodes: DataFrame, shards: int) -> DataFrame:
             if r["linked"] != passing:
                 continue
             a, s = r["shard"], r["s"]
+            if passing and load[a] <= share * (1 + SLACK / 2):
+                continue
             b = min(range(shards), key=lambda i: (load[i], i))
             # A move must bring the two nearer to their share.
             if load[a] - share >= s / 2 and abs(load[a] - s - share) + abs(load[b] + s - share) < abs(load[a] - share) + abs(load[b] - share):

@@ -82,13 +82,13 @@ def in_turn(docs: DataFrame) -> DataFrame:
     quantiles = ids.agg(F.percentile_approx("k1", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]
     bounds = sorted(set(quantiles or []))
     base, ids = (x.withColumn("part", _part(bounds)) for x in (base, ids))
-    firsts = {r["part"]: tuple(r["f"]) for r in ids.groupBy("part").agg(F.min(F.struct((-F.col("k1")).alias("a"), "k2")).alias("f")).collect()}
+    firsts = {r["part"]: tuple(r["f"]) for r in ids.groupBy("part").agg(F.min(F.struct(F.bitwise_not("k1").alias("a"), "k2")).alias("f")).collect()}
     parts = sorted(firsts, reverse=True)
     before = [(firsts[p][0], firsts[p][1], parts[i - 1]) for i, p in enumerate(parts)]
     if not before:
         return base.select("part", "k1", "k2", "doc_id", "text", F.lit(False).alias("lead"))
-    edge = spark.createDataFrame(before, "minus long, e2 long, other int")
-    copies = base.join(F.broadcast(edge), (-F.col("k1") == F.col("minus")) & (F.col("k2") == F.col("e2")), "left")
+    edge = spark.createDataFrame(before, "turned long, e2 long, other int")  # one row per range
+    copies = base.join(F.broadcast(edge), (F.bitwise_not("k1") == F.col("turned")) & (F.col("k2") == F.col("e2")), "left")
     targets = F.when(F.col("other").isNull(), F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("l")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("l")), F.struct(F.col("other").alias("p"), F.lit(True).alias("l"))))
     dealt = copies.select("k1", "k2", "doc_id", "text", F.explode(targets).alias("t"))
     return dealt.select(F.col("t.p").alias("part"), "k1", "k2", "doc_id", "text", F.col("t.l").alias("lead"))

@@ -13,35 +13,44 @@ from .features import Meta
 TOP_PROFILES = 10
 
 
-def shuffled(frame: DataFrame, name: str, seed: int, keys: tuple[str, ...] = (ID, AT)) -> DataFrame:
-    """frame with the values of one column dealt to other rows, by a hash.
+def _paired(frame: DataFrame, seed: int, keys: tuple[str, ...]) -> DataFrame:
+    """frame with `_o`, another row of it: the same rows in an order drawn by a hash.
 
-    Rows swap within buckets of a hash, by two orders of each bucket; so no task sorts all rows.
+    Rows pair within buckets of a hash, by two orders of each bucket; so no task sorts all rows.
     """
-    rows = frame.count()
-    buckets = max(1, rows // 20_000)
+    buckets = max(1, frame.count() // 20_000)
     part = F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit("bucket")), F.lit(buckets))
     by = Window.partitionBy("_b")
     numbered = frame.withColumn("_b", part).withColumn("_n", F.row_number().over(by.orderBy(*keys)))
-    other = numbered.select("_b", F.row_number().over(by.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)).alias("_n"), F.col(f"`{name}`").alias("_v"))
-    return numbered.join(other, ["_b", "_n"]).withColumn(name, F.col("_v")).select(*frame.columns)
+    other = numbered.select("_b", F.row_number().over(by.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)).alias("_n"), F.struct(*[f"`{c}`" for c in frame.columns]).alias("_o"))
+    return numbered.join(other, ["_b", "_n"])
+
+
+def shuffled(frame: DataFrame, name: str, seed: int, keys: tuple[str, ...] = (ID, AT)) -> DataFrame:
+    """frame with the values of one column dealt to other rows."""
+    return _paired(frame, seed, keys).withColumn(name, F.col(f"_o.`{name}`")).select(*frame.columns)
 
 
-def area(frame: DataFrame, score: str = "score") -> float:
-    row = metrics.auc(frame, score, "label").first()
-    return row["area"] if row and row["area"] is not None else 0.5
+def variants(frame: DataFrame, names: list[str], seed: int, keys: tuple[str, ...] = (ID, AT)) -> DataFrame:
+    """frame as it is (tag null) and once for each name with that column shuffled (tag its name)."""
+
+    def row(tag: str | None):
+        return F.struct(F.lit(tag).cast("string").alias("tag"), *[F.col(f"_o.`{c}`" if c == tag else f"`{c}`").alias(c) for c in frame.columns])
+
+    return _paired(frame, seed, keys).select(F.explode(F.array(*map(row, [None, *names]))).alias("v")).select("v.*")
 
 
 def permutation(model: PipelineModel, frame: DataFrame, meta: dict[str, Meta], repeats: int, seed: int) -> dict[str, float]:
-    """Mean loss of area under the curve with each feature shuffled, never below 0."""
+    """Mean loss of area under the curve with each feature shuffled, never below 0; one pass for each repeat."""
     frame = frame.select(ID, AT, "label", *[f"`{n}`" for n in meta]).cache()
-    whole = area(modeling.score_tree(model, frame, meta))
-    out = {}
-    for i, name in enumerate(meta):
-        losses = [whole - area(modeling.score_tree(model, shuffled(frame, name, seed + 101 * i + r), meta)) for r in range(repeats)]
-        out[name] = max(0.0, sum(losses) / len(losses))
+    losses: dict[str, list[float]] = {n: [] for n in meta}
+    for r in range(repeats):
+        scored = modeling.score_tree(model, variants(frame, list(meta), seed + 101 * r), meta)
+        areas = {x["tag"]: x["area"] for x in metrics.auc(scored.withColumn("tag", F.coalesce("tag", F.lit(""))), "score", "label", ["tag"]).collect()}
+        for n in meta:
+            losses[n].append((areas.get("") or 0.5) - (areas.get(n) or 0.5))
     frame.unpersist()
-    return out
+    return {n: max(0.0, sum(x) / len(x)) if x else 0.0 for n, x in losses.items()}
 
 
 def direction(frame: DataFrame, meta: dict[str, Meta]) -> DataFrame:

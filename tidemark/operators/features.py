@@ -163,9 +163,10 @@ def aggregate(events: DataFrame, wanted: dict[str, Column], keys: list[str] = KE
 
 def from_events(frame: DataFrame, events: DataFrame, group: Group, date: str, id_column: str, dates: list[dt.date], embargo: int, skipped: list[dict], tie: str | None = None) -> tuple[DataFrame, dict[str, Meta]]:
     """The panel's frame with the group's features joined to it."""
+    events = events.withColumnRenamed(id_column, ID) if id_column != ID else events
     order = F.struct(F.col(date), F.col(tie)) if tie else F.struct(F.col(date), F.xxhash64(*sorted(events.columns)))
     specs = window_aggregates(group, events, date, skipped, order)
-    sent = onto_dates(events.withColumnRenamed(id_column, ID) if id_column != ID else events, dates, date, max(group.windows), embargo)
+    sent = onto_dates(events, dates, date, max(group.windows), embargo)
     block = aggregate(sent, {n: c for n, (c, _) in specs.items()})
     return frame.join(block, KEYS, "left"), {n: m for n, (_, m) in specs.items()}
 

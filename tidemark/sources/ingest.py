@@ -14,6 +14,9 @@ from ..functions import cleaning as C
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin-1")
 SEPARATORS = (",", ";", "\t", "|", ":")
 SNIFF = 1 << 16
+#: cp1252 differs from latin-1 in these bytes only: the latter's controls, and what they stand for.
+_KNOWN = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+_WINDOWS = ("".join(map(chr, _KNOWN)), bytes(_KNOWN).decode("cp1252"))
 
 # Spellings of channels, payment methods, cohorts, risk bands and contact reasons.
 CHANNELS = {"dm": "direct_mail", "direct mail": "direct_mail", "directmail": "direct_mail", "direct_mail": "direct_mail", "online paid": "online_paid", "paid online": "online_paid", "online_paid": "online_paid", "paid_online": "online_paid", "ppc": "online_paid", "online organic": "online_organic", "organic": "online_organic", "tv": "tv", "television": "tv", "door to door": "door_to_door", "d2d": "door_to_door", "referral": "referral", "partner": "partner", "telemarketing": "telemarketing"}
@@ -54,9 +57,13 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Everything as text; headers without blanks around them; `_row` numbers rows by file order."""
     encoding, separator = sniff(spark, path)
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", "utf-8" if encoding == "utf-8-sig" else encoding).option("multiLine", True).option("quote", '"').option("escape", '"')
+    known = "utf-8" if encoding.startswith("utf-8") else "iso-8859-1"
+    reader = spark.read.option("header", True).option("sep", separator).option("encoding", known).option("multiLine", True).option("quote", '"').option("escape", '"')
     df = reader.csv(path)
-    df = df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
+    if encoding == "cp1252":
+        df = df.toDF(*[c.translate(str.maketrans(*_WINDOWS)) for c in df.columns])
+        df = df.select(*[F.translate(f"`{c}`", *_WINDOWS).alias(c) for c in df.columns])
+    df = df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
     return df.withColumn("_row", F.monotonically_increasing_id())
 
 

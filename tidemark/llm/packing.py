@@ -69,7 +69,7 @@ def curve_keys(rows: list[bytes]) -> np.ndarray:
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, spot (place in the order), tokens, ids (16 bits each, with the closing id)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     schema = "doc_id long, spot long, tokens long, ids binary"
     target = arrow_schema(schema)
 

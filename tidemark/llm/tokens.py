@@ -12,9 +12,8 @@ import numpy as np
 #: in them but case and white space. Others, and texts with the strings of special tokens, go whole to the tokenizer.
 _SIMPLE = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: Chunks and words remembered; both memos are emptied when full. Some 200 bytes an entry.
-MEMO = 1_000_000
-MEMO_WORDS = 700_000
+#: Chunks and words remembered together; the memo is emptied when full. Some 180 bytes an entry.
+MEMO = 900_000
 
 
 class WordTokenizer:
@@ -34,23 +33,22 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        """Ids of chunks without white space: of one word, of a word and a mark, or of whatever the pattern finds."""
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        own, memo = self.words, self.memo
+        """Ids of chunks without white space: of one word, of a word and a mark, or of whatever the pattern finds.
+
+        The pieces of a chunk are chunks too, and are remembered in the same memo.
+        """
+        memo = self.memo
         plain = [c for c in chunks if c.isalpha()]
         marked = [(c, c[:-1], c[-1]) for c in chunks if c[-1] in ",.:;!?" and c[:-1].isalpha()]
         rest = [(c, _WORDS.findall(c)) for c in chunks.difference(plain, [m[0] for m in marked])]
         unknown = set(plain)
-        for group in (*marked, *(ws for _, ws in rest)):
-            unknown.update(group)
-        unknown.difference_update(own, [m[0] for m in marked])
+        unknown.update([w for _, w, _ in marked], [m for _, _, m in marked], *[ws for _, ws in rest])
+        unknown.difference_update(memo)
         words = list(unknown)
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
@@ -58,12 +56,11 @@ class WordTokenizer:
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
             if len(ends) == len(some):
                 data = ids.tobytes()
-                own.update(zip(some, [data[i:j] for i, j in zip([0, *ends], ends)]))
+                memo.update(zip(some, [data[i:j] for i, j in zip([0, *ends], ends)]))
             else:
-                own.update((w, self._slow(w)) for w in some)
-        memo.update(zip(plain, map(own.__getitem__, plain)))
-        memo.update([(c, own[w] + own[m]) for c, w, m in marked])
-        memo.update([(c, b"".join(map(own.__getitem__, ws))) for c, ws in rest])
+                memo.update((w, self._slow(w)) for w in some)
+        memo.update([(c, memo[w] + memo[m]) for c, w, m in marked])
+        memo.update([(c, b"".join(map(memo.__getitem__, ws))) for c, ws in rest])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 16-bit numbers."""

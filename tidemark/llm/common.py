@@ -52,12 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     return set_before
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd", shrink: int = 1) -> DataFrame:
     """Write df as Parquet to the shared folder and read it: lineage ends, every executor sees it.
 
-    The table is removed when the driver's process ends.
+    A table that is small beside the documents is written by 1/shrink of the shuffle partitions, so
+    that it is not scattered over many tiny files. The table is removed when the driver's process ends.
     """
     spark = df.sparkSession
+    if shrink > 1:
+        df = df.coalesce(max(1, partitions(spark) // shrink))
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)

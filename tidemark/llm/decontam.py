@@ -106,9 +106,9 @@ class PositionalIndex:
 
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> None:
         self.window, self.slop = window, slop
-        found = materialize(phrases(items, window), "phrases")
+        found = materialize(phrases(items, window), "phrases", shrink=16)
         self.small = found.count() <= BROADCAST_WINDOWS
-        self.anchors = materialize(anchors(found, corpus_counts(docs, found, self.small)), "anchors")
+        self.anchors = materialize(anchors(found, corpus_counts(docs, found, self.small)), "anchors", shrink=16)
         terms = self.anchors.select("loose").distinct()
         self.postings = materialize(index(docs, terms, window - 1 + slop, self.small), "postings")
 

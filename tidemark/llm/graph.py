@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     then its smaller ones likewise. Rounds grow with the logarithm of the longest path. Least
     neighbours come from aggregates that combine before the shuffle, so no neighbourhood is gathered.
     """
-    now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
+    now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges", shrink=8)
     seen = _state(now)
     while True:
         # Larger neighbours (a) of each node (b), to the least of the node and all its neighbours.
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Smaller neighbours (b) of each node (a), to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.withColumnRenamed("a", "n"), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), "edges")
+        now = materialize(small.union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), "edges", shrink=8)
         state = _state(now)
         if state == seen:
             break

@@ -164,14 +164,14 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Data
     holders = found.filter(F.col("license").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("share") >= FILE_SHARE)))
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     by_dir = holders.groupBy(directory.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "license")).alias("best")).select("dir", F.col("best.license").alias("theirs"))
-    by_dir = materialize(by_dir, "directories")
+    by_dir = materialize(by_dir, "directories", shrink=8)
     if by_dir.count() <= BROADCAST_DIRECTORIES:
         by_dir = F.broadcast(by_dir)
     # Few paths for each directory: ancestors are joined once per directory, not once per file.
     bare = found.filter("license is null and path is not null").select(directory.alias("place")).distinct()
     above = bare.select("place", F.explode(ancestors(F.concat("place", F.lit("/x")))).alias("a")).select("place", "a.depth", F.regexp_replace("a.dir", "^/", "").alias("dir"))
     nearest = above.join(by_dir, "dir").groupBy("place").agg(F.max(F.struct("depth", "dir", "theirs")).alias("n")).select("place", F.col("n.dir").alias("from_dir"), F.col("n.theirs").alias("theirs"))
-    nearest = materialize(nearest, "nearest")
+    nearest = materialize(nearest, "nearest", shrink=8)
     if nearest.count() <= BROADCAST_DIRECTORIES:
         nearest = F.broadcast(nearest)
     out = found.withColumn("place", F.when(F.col("license").isNull(), directory)).join(nearest, "place", "left")

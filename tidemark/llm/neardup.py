@@ -65,7 +65,7 @@ def proposals(sketched: DataFrame) -> DataFrame:
     keys = sketched.select("id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
     pairs = keys.join(shared.select("band", "low"), "band").filter("id != low").select("id", "low").distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(pairs, "pairs", shrink=4)
     ids = pairs.select("id").union(pairs.select(F.col("low").alias("id"))).distinct()
     regs = sketched.join(ids, "id", "left_semi").select("id", "n", "registers").dropDuplicates(["id"])
     first = pairs.join(regs.select("id", F.col("n").alias("n_a"), F.col("registers").alias("a")), "id")
@@ -156,7 +156,7 @@ def links(docs: DataFrame, sketched: DataFrame, width: int = WIDTH, block: int =
     """u, v: verified links between sets' ids that connect what all links connect."""
     ties = components(proposals(sketched))
     nodes = sketched.groupBy("id").agg(F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("rep"))
-    members = materialize(ties.join(nodes, "id").select("id", "root", "n", "rep.k1", "rep.k2"), "members")
+    members = materialize(ties.join(nodes, "id").select("id", "root", "n", "rep.k1", "rep.k2"), "members", shrink=8)
     # Clusters of moderate size are one block; larger ones are dealt out, each pair of blocks to a task.
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / block_shingles)).cast("int")
@@ -203,7 +203,7 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sketched = materialize(sketches(docs, width), "sketches")
     rooted = components(links(docs, sketched, width))
     rows = sketched.select("doc_id", "k1", "k2", "n", "id")
-    rows = materialize(rows.join(rooted, "id", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("root", "id"))).select("doc_id", "k1", "k2", "n", "group"), "grouped")
+    rows = materialize(rows.join(rooted, "id", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("root", "id"))).select("doc_id", "k1", "k2", "n", "group"), "grouped", shrink=4)
     least = rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "group", "left").withColumn("component_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -216,7 +216,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     a, b, c = "__tidemark_k1", "__tidemark_k2", "__tidemark_n"
     kept = groups(docs, width).filter("kept").groupBy(F.col("k1").alias(a), F.col("k2").alias(b)).agg(F.count(F.lit(1)).alias(c))
-    kept = materialize(kept, "kept")
+    kept = materialize(kept, "kept", shrink=8)
     marked = docs.withColumn(a, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(b, F.xxhash64(text_of()))
     out = marked.join(kept, [a, b])
     if kept.filter(F.col(c) > 1).limit(1).count():

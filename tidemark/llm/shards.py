@@ -36,10 +36,10 @@ def _bin(salt: int, bins: int, *columns: str):
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """nodes: id, size; links: src, dst (ids, any order, at most one row per pair). id, size, linked, shard."""
     both = links.select("src", "dst").union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src != dst")
-    both = materialize(both, "links")
+    both = materialize(both, "links", shrink=8)
     tied = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("first"), F.count(F.lit(1)).alias("degree"))
     start = nodes.join(tied, "id", "left").select("id", "size", F.col("degree").isNotNull().alias("linked"), _bin(0, shards, "id").alias("shard"), (F.col("first") > F.col("id")).alias("least"), "degree")
-    start = materialize(start, "nodes")
+    start = materialize(start, "nodes", shrink=8)
     loads = {r["shard"]: r["s"] for r in start.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
     total = sum(loads.values())
     # Only linked nodes can want to move, so only they go through the rounds.
@@ -62,7 +62,7 @@ def _round(moving: DataFrame, both: DataFrame, shards: int, turn: int, loads: di
     free = F.col("least") if turn % 2 else ~F.col("least") & ((F.col("degree") == 1) | (_bin(1000 + turn, 2, "id") == 0))
     asks = (F.col("to") != F.col("shard")) & (gain > 0) & free
     now = now.select(*_COLUMNS,  F.when(asks, F.col("to")).otherwise(F.col("shard")).alias("to"), _bin(turn, BINS, "id").alias("bin"))
-    now = materialize(now, f"round{turn}")
+    now = materialize(now, f"round{turn}", shrink=8)
     asked = now.filter("to != shard").groupBy("shard", "to", "bin").agg(F.sum("size").alias("s")).collect()
     if not asked:
         return now.select(*_COLUMNS), turn == 1
@@ -102,7 +102,7 @@ def _round(moving: DataFrame, both: DataFrame, shards: int, turn: int, loads: di
 
 def _level(nodes: DataFrame, shards: int) -> DataFrame:
     """Move bins from shards over their share to shards under it, unlinked nodes first."""
-    nodes = materialize(nodes.withColumn("bin", _bin(7, FINE_BINS, "id")), "placed")
+    nodes = materialize(nodes.withColumn("bin", _bin(7, FINE_BINS, "id")), "placed", shrink=8)
     sums = nodes.groupBy("shard", "linked", "bin").agg(F.sum("size").alias("s")).collect()
     load = [0] * shards
     for r in sums:
@@ -144,7 +144,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
 
 def slots(rows: DataFrame) -> DataFrame:
     """rows with slot: gapless from 0 in each shard. Numbers come from bins, so no shard is sorted as one."""
-    rows = materialize(rows, "shards")
+    rows = materialize(rows, "shards", shrink=8)
     bins = max(1, rows.count() // 200_000)
     rows = rows.withColumn("part", _bin(11, bins, "id"))
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))

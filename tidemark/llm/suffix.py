@@ -186,7 +186,7 @@ def spans(docs: DataFrame, length: int = LENGTH, core: int | None = None, held:
     again = every.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
     again = materialize(every.join(again, "core"), "anchors")
     reps = again.groupBy("core", "wide").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "pos", "back", "wins")).alias("r"))
-    reps = materialize(reps.select("core", "wide", (F.col("c") > 1).alias("many"), "r.*"), "surroundings")
+    reps = materialize(reps.select("core", "wide", (F.col("c") > 1).alias("many"), "r.*"), "surroundings", shrink=2)
     sorts = reps.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     # With one surrounding only, all windows through the anchor repeat. Otherwise windows are compared.
     mixed = reps.join(sorts.filter("n > 1"), "core")
@@ -211,7 +211,7 @@ def merge(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, data, spans. While the keys of the rows that lose bytes are few, only those rows are shuffled."""
-    found = materialize(found, "spans")
+    found = materialize(found, "spans", shrink=2)
     data = keyed(docs).select("doc_id", "k1", "k2", F.encode("text", "UTF-8").alias("data"))
     keys = found.select("k1", "k2")
     if not _few(keys):

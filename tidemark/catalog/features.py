@@ -204,7 +204,7 @@ for _name, _text, _same in (
     ("derived_fillna", "fillna(log1p(total), -1) + sqrt(abs(fillna(rec, -4)))", "coalesce(ln(1 + total), -1) + sqrt(abs(coalesce(rec, -4)))"),
     ("derived_floor_mod", "(0 - rec) // 7 * 1000 + (0 - rec) % 7", "floor(-rec / 7) * 1000 + (-rec - floor(-rec / 7) * 7)"),
     ("derived_minmax", "maximum(n, rec) - minimum(n, 2) + sign(rec) * exp(0 - n)", "case when n is not null and rec is not null then greatest(n, rec) - least(n, 2) + sign(rec) * exp(-n) end"),
-    ("derived_logic", "where((n > 1 and rec < 90) or isnull(total), 1, 0) + (2 if notnull(low) and not low > 30000 else 3) + n ** 2 * 0", "case when n is not null then case when (coalesce(n > 1, false) and coalesce(rec < 90, false)) or total is null then 1 else 0 end + case when low is not null and not coalesce(low > 30000, false) then 2 else 3 end end"),
+    ("derived_logic", "where((n > 1 and rec < 90) or isnull(total), 1, 0) + (2 if notnull(low) and not low > 30000 else 3) + n ** 2 * 0", "case when n is not null then 0.0::double + case when (coalesce(n > 1, false) and coalesce(rec < 90, false)) or total is null then 1 else 0 end + case when low is not null and not coalesce(low > 30000, false) then 2 else 3 end end"),
 ):
     _entry(_name, _derived(_text), _BASE.format(_same))
 

@@ -46,8 +46,8 @@ def binarise(frame: DataFrame, feature: str, kind: str = "binary", threshold: fl
     elif kind == "binary":
         hit = x > 0
     elif kind == "continuous_median_split":
-        middle = frame.agg(F.median(x).alias("m")).first()["m"]
-        hit = x > F.lit(middle)
+        middle = metrics.quantiles(frame, [], f"`{feature}`", [0.5]).first()
+        hit = x > F.lit(middle["q"][0] if middle else None)
     else:
         raise ConfigError(f"causal.yaml: treatment type {kind!r} is not threshold, binary or continuous_median_split")
     return F.coalesce(hit, F.lit(False)).cast("int")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MINIMUM = 20
 CLIP = 1e-6
 SHARES = (5, 10, 20)
+#: Ranges into which values are cut for running sums.
+PARTS = 64
 
 
 def long(frame: DataFrame, names: list[str], keep: list[str], kind: str = "double") -> DataFrame:
@@ -21,12 +23,58 @@ def long(frame: DataFrame, names: list[str], keep: list[str], kind: str = "doubl
     return frame.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.feature", "p.value")
 
 
+def below(counts: DataFrame, by: list[str], sums: list[str], parts: int = PARTS) -> DataFrame:
+    """counts (by, value, sums; one row per value) with below_<sum>: the total over smaller values of the same `by`.
+
+    Values are cut into ranges by approximate quantiles; a running sum within each range meets the
+    totals of the ranges before it. So a feature of very many values is not one task's, and the sums are exact.
+    """
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], 10 * parts).alias("_e"))
+    dealt = counts.join(F.broadcast(cuts), by)  # one row per feature
+    dealt = dealt.withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col("value")))).drop("_e")
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    inside = Window.partitionBy(*by, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumns({f"_w_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}).join(F.broadcast(totals), [*by, "_b"])  # features x parts rows
+    return summed.select(*counts.columns, *[(F.col(f"_o_{s}") + F.col(f"_w_{s}")).alias(f"below_{s}") for s in sums])
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by, q: exact quantiles of the values that are not null, linearly interpolated, from running counts."""
+    keys = by or ["_all"]
+    source = rows if by else rows.withColumn("_all", F.lit(1))
+    counts = source.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = below(counts, keys, ["c"])
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("_n"))
+    ranked = ranked.join(F.broadcast(sizes), keys)  # one row per feature
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("below_c") <= place) & (place < F.col("below_c") + F.col("c")), F.col("value")))
+
+    places = [F.lit(p) * (F.col("_n") - 1) for p in shares]
+    found = ranked.groupBy(*keys).agg(*[F.max(x - F.floor(x)).alias(f"_f{i}") for i, x in enumerate(places)], *[at(F.floor(x)).alias(f"_a{i}") for i, x in enumerate(places)], *[at(F.ceil(x)).alias(f"_z{i}") for i, x in enumerate(places)])
+    q = F.array(*[F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}") for i in range(len(shares))])
+    out = found.select(*keys, q.alias("q"))
+    return out if by else out.drop("_all")
+
+
+def positions(frame: DataFrame, score: str, keep: list[str], tie: list[str]) -> DataFrame:
+    """The kept columns and pos: places from 0 by falling score, ties by the tie columns; no task sorts all rows."""
+    rows = frame.select(F.col(score).alias("value"), *[c for c in keep if c not in tie], *tie)
+    cuts = rows.agg(F.percentile_approx("value", [i / PARTS for i in range(1, PARTS)], 10 * PARTS).alias("e")).first()["e"] or []
+    cuts = sorted(set(cuts))
+    rows = rows.withColumn("_b", -F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: e <= F.col("value"))) if cuts else F.lit(0))
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.select("_b", F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.col("value").desc(), *tie)) - 1)
+    return numbered.join(F.broadcast(before), "_b").select(*keep, (F.col("_r") + F.col("before")).alias("pos"))  # at most PARTS rows
+
+
 def _ranked_auc(counts: DataFrame, by: list[str]) -> DataFrame:
     """counts: by, value, pos, neg (sums per distinct value). by, n_pos, n_neg, n_values, area."""
-    order = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(order), F.lit(0))
-    won = F.col("pos") * (below + F.col("neg") / 2)
-    return counts.withColumn("won", won).groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count(F.lit(1)).alias("n_values"), F.sum("won").alias("won")).withColumn("area", F.try_divide("won", F.col("n_pos") * F.col("n_neg"))).drop("won")
+    won = F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)
+    return below(counts, by, ["neg"]).withColumn("won", won).groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count(F.lit(1)).alias("n_values"), F.sum("won").alias("won")).withColumn("area", F.try_divide("won", F.col("n_pos") * F.col("n_neg"))).drop("won")
 
 
 def auc(frame: DataFrame, value: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -106,10 +154,11 @@ def categorical_scan(frame: DataFrame, names: list[str], label: str, folds: Colu
 
 def average_precision(frame: DataFrame, score: str, label: str) -> DataFrame:
     """ap: the sum over thresholds of precision times the step in recall; tied scores are one threshold."""
-    counts = frame.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("c"))
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumns({"tp": F.sum("pos").over(down), "k": F.sum("c").over(down)})
-    return counts.agg((F.sum(F.col("tp") / F.col("k") * F.col("pos")) / F.sum("pos")).alias("ap"))
+    counts = frame.groupBy(F.lit(1).alias("_all"), F.col(score).alias("value")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("c"))
+    totals = counts.agg(F.sum("pos").alias("all_pos"), F.sum("c").alias("all_c"))
+    ranked = below(counts, ["_all"], ["pos", "c"]).join(F.broadcast(totals))  # one row
+    precision = (F.col("all_pos") - F.col("below_pos")) / (F.col("all_c") - F.col("below_c"))
+    return ranked.agg((F.sum(precision * F.col("pos")) / F.sum("pos")).alias("ap"))
 
 
 def headline(frame: DataFrame, score: str, label: str) -> DataFrame:
@@ -119,22 +168,22 @@ def headline(frame: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def capture(frame: DataFrame, score: str, label: str, tie: list[str], shares: tuple[int, ...] = SHARES) -> DataFrame:
-    """share, k, capture, lift of the highest scores; equal scores go by the tie columns."""
+    """share, k, capture, lift of the highest scores, all shares in one pass; equal scores go by the tie columns."""
     totals = frame.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("events")).first()
     n, events = totals["n"], totals["events"] or 0
-    spark = frame.sparkSession
-    tops = []
-    for share in shares:
-        k = max(1, n * share // 100)
-        top = frame.orderBy(F.col(score).desc(), *tie).limit(k)
-        tops.append(top.agg(F.lit(share).alias("share"), F.lit(k).cast("long").alias("k"), (F.sum(label) / F.lit(events)).alias("capture"), (F.avg(label) / F.lit(events / n if n else None)).alias("lift")))
-    return functools.reduce(DataFrame.unionByName, tops) if n else spark.createDataFrame([], "share int, k long, capture double, lift double")
+    if not n:
+        return frame.sparkSession.createDataFrame([], "share int, k long, capture double, lift double")
+    tops = {share: max(1, n * share // 100) for share in shares}
+    placed = positions(frame, score, [label], tie)
+    found = placed.agg(*[F.sum(F.when(F.col("pos") < k, F.col(label))).alias(f"s{share}") for share, k in tops.items()])
+    rows = [F.struct(F.lit(share).alias("share"), F.lit(k).cast("long").alias("k"), F.try_divide(F.col(f"s{share}"), F.lit(events)).alias("capture"), F.try_divide(F.col(f"s{share}") / k, F.lit(events / n)).alias("lift")) for share, k in tops.items()]
+    return found.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def edges(frame: DataFrame, value: str, parts: int) -> list[float]:
     """Distinct quantile edges, both ends included."""
-    found = frame.agg(F.percentile(value, [i / parts for i in range(parts + 1)]).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    found = quantiles(frame, [], value, [i / parts for i in range(parts + 1)]).first()
+    return sorted({x for x in (found["q"] if found else []) if x is not None})
 
 
 def bucket(value: str, cuts: list[float], right: bool) -> Column:
@@ -152,26 +201,16 @@ def calibration(frame: DataFrame, score: str, label: str, parts: int = 10) -> Da
 
 
 def lift_deciles(frame: DataFrame, score: str, label: str, tie: list[str], parts: int = 10) -> DataFrame:
-    """decile (0 the riskiest), n, rate: by position among rows sorted by falling score, ties by the tie columns.
-
-    Positions come from counts of score ranges (quantile bounds) and a rank within each, so no task sorts all rows.
-    """
+    """decile (0 the riskiest), n, rate: by position among rows sorted by falling score, ties by the tie columns."""
     n = frame.count()
-    rows = frame.select(score, label, *tie)
-    cuts = edges(rows, score, 64)
-    rows = rows.withColumn("_b", -bucket(score, cuts, False) if len(cuts) > 2 else F.lit(0))
-    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.select("_b", F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("_b").orderBy(F.col(score).desc(), *tie)) - 1)
-    numbered = numbered.join(F.broadcast(before), "_b")  # at most 64 rows
-    part = F.floor((F.col("r") + F.col("before")) * parts / F.lit(n)).cast("int")
-    return numbered.groupBy(part.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("rate"))
+    part = F.floor(F.col("pos") * parts / F.lit(n)).cast("int")
+    return positions(frame, score, [label], tie).groupBy(part.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("rate"))
 
 
 def numeric_effects(frame: DataFrame, names: list[str], label: str) -> DataFrame:
     """feature, low_rate (at or below the 20th percentile), high_rate (at or above the 80th), spread."""
     rows = long(frame, names, [label]).filter("value is not null")
-    cuts = rows.groupBy("feature").agg(F.percentile("value", [0.2, 0.8]).alias("q"))
+    cuts = quantiles(rows, ["feature"], "value", [0.2, 0.8])
     both = rows.join(F.broadcast(cuts), "feature")  # one row per feature, fewer than columns of the frame
     low, high = F.col("value") <= F.col("q")[0], F.col("value") >= F.col("q")[1]
     return both.groupBy("feature").agg(F.avg(F.when(low, F.col(label))).alias("low_rate"), F.avg(F.when(high, F.col(label))).alias("high_rate")).withColumn("spread", F.col("high_rate") - F.col("low_rate"))

@@ -191,7 +191,7 @@ def concordance(frame: DataFrame, beta: np.ndarray, parts: int = 200) -> float:
     """
     eta = sum((F.lit(float(b)) * F.col("x")[i] for i, b in enumerate(beta)), F.lit(0.0))
     rows = frame.select("duration_days", "event", eta.alias("r"))
-    cuts = sorted(set(rows.agg(F.percentile("r", [i / parts for i in range(1, parts)]).alias("q")).first()["q"] or []))
+    cuts = sorted(set(rows.agg(F.percentile_approx("r", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []))
     bins = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("r"))) if cuts else F.lit(0)
     counts = rows.groupBy("duration_days", bins.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.sum("event").alias("d")).collect()
     by: dict = {}

@@ -44,9 +44,11 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     total = sum(loads.values())
     # Only linked nodes can want to move, so only they go through the rounds.
     moving = start.filter("linked")
+    idle = 0
     for turn in range(1, rounds + 1):
         moving, moved = _round(moving, both, shards, turn, loads, total)
-        if not moved:
+        idle = 0 if moved else idle + 1
+        if idle == 2:  # neither kind of document moves any more
             break
     loose = start.filter("not linked")
     return _level(loose.unionByName(moving).select("id", "size", "linked", "shard"), shards)
@@ -61,11 +63,11 @@ def _round(moving: DataFrame, both: DataFrame, shards: int, turn: int, loads: di
     gain = F.col("w") - F.coalesce(F.element_at("all", F.col("shard")), F.lit(0))
     free = F.col("least") if turn % 2 else ~F.col("least") & ((F.col("degree") == 1) | (_bin(1000 + turn, 2, "id") == 0))
     asks = (F.col("to") != F.col("shard")) & (gain > 0) & free
-    now = now.select(*_COLUMNS,  F.when(asks, F.col("to")).otherwise(F.col("shard")).alias("to"), _bin(turn, BINS, "id").alias("bin"))
+    now = now.select(*_COLUMNS, F.when(asks, F.col("to")).otherwise(F.col("shard")).alias("to"), _bin(turn, BINS, "id").alias("bin"))
     now = materialize(now, f"round{turn}", shrink=8)
     asked = now.filter("to != shard").groupBy("shard", "to", "bin").agg(F.sum("size").alias("s")).collect()
     if not asked:
-        return now.select(*_COLUMNS), turn == 1
+        return now.select(*_COLUMNS), False
     demand: dict = defaultdict(int)
     for r in asked:
         demand[r["shard"], r["to"]] += r["s"]
@@ -94,7 +96,7 @@ def _round(moving: DataFrame, both: DataFrame, shards: int, turn: int, loads: di
         loads[a] = loads.get(a, 0) - done
         loads[b] = loads.get(b, 0) + done
     if not limits:
-        return now.select(*_COLUMNS), turn == 1
+        return now.select(*_COLUMNS), False
     granted = now.sparkSession.createDataFrame(limits, "shard int, to int, bin int").withColumn("ok", F.lit(True))
     out = now.join(F.broadcast(granted), ["shard", "to", "bin"], "left").select("id", "size", "linked", F.when(F.col("ok"), F.col("to")).otherwise(F.col("shard")).alias("shard"), "least", "degree")
     return out, True

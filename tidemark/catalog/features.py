@@ -267,3 +267,37 @@ _entry("audit_enforce", audit_enforce, """select f as feature, f not in ('orders
 'orders__event_count_365d', 'orders__recency_days_365d', 'orders__o_totalprice__sum_365d', 'orders__o_totalprice__mean_365d',
 'orders__finished__event_count_365d', 'orders__finished__recency_days_365d', 'orders__finished__o_totalprice__sum_365d', 'orders__finished__o_totalprice__mean_365d',
 'who__segment', 'who__balance', 'who__end_date__days_before_T', 'ratios__share', 'more__twice']) as f)""")
+
+
+def audit_model_checks(spark, sf):
+    """Findings for pairs of cross-validated and held-out areas under the curve."""
+    rows = []
+    for i, (cv, hold) in enumerate([(0.98, 0.74), (0.85, 0.72), (0.72, 0.70), (0.999, 0.999), (0.96, 0.96)]):
+        report = audit.Report()
+        audit.model_checks(base.spec(), cv, hold, report)
+        rows += [(i, f.level, f.code) for f in report.findings]
+    return spark.createDataFrame(rows, "pair long, level string, code string")
+
+
+_entry("audit_model_checks", audit_model_checks, "select * from (values (0::bigint, 'BLOCK', 'CV_HOLDOUT_GAP'), (1, 'WARN', 'CV_HOLDOUT_GAP'), (3, 'BLOCK', 'MODEL_TOO_GOOD'), (4, 'WARN', 'MODEL_SUSPICIOUSLY_GOOD')) as t(pair, level, code)")
+
+
+def column_audit(spark, sf):
+    """Configured columns that their source lacks."""
+    from ..cli import lacking
+
+    groups = [Group("who", columns=(Column("segment"), Column("colour"), Column("tenure_days"))), _group([Column(_price), Column("o_colour")], (90,))]
+    gaps = lacking(base.spec(groups=groups), base.entity(spark, sf).columns, {"orders": base.orders(spark, sf).columns})
+    return spark.createDataFrame(gaps, "group string, column string")
+
+
+_entry("column_audit", column_audit, """select * from (values ('who', 'colour'), ('orders', 'o_colour')) as t("group", "column")""")
+
+
+def window_order_free(spark, sf):
+    """The order of configured windows and aggregates does not matter, and doubles are dropped."""
+    g = _group([Column(_price, aggs=("sum",))], (365, 90))
+    return _rounded(_built(spark, sf, g)[0])
+
+
+_entry("window_order_free", window_order_free, _window_sql(_group([Column(_price, aggs=("sum",))], (90, 365)), {}))

@@ -19,18 +19,21 @@ def session(name: str = "tidemark") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def missing_columns(spark: SparkSession, own: spec.Spec) -> list[tuple[str, str]]:
+def lacking(own: spec.Spec, entity: list[str], logs: dict[str, list[str]]) -> list[tuple[str, str]]:
     """(group, column) of configured feature columns that their source lacks."""
-    data = readers.dataset(spark, own, check=False)
     out = []
     for g in own.groups:
-        if g.temporal == "derived":
-            continue
-        have = set((data.entity if g.source == "entity" else data.events[g.source]).columns)
-        out += [(g.name, c.name) for c in g.columns if c.name not in have and c.name not in ("tenure_days", "recency_days")]
+        if g.temporal != "derived":
+            have = set(entity if g.source == "entity" else logs[g.source])
+            out += [(g.name, c.name) for c in g.columns if c.name not in have and c.name not in ("tenure_days", "recency_days")]
     return out
 
 
+def missing_columns(spark: SparkSession, own: spec.Spec) -> list[tuple[str, str]]:
+    data = readers.dataset(spark, own, check=False)
+    return lacking(own, data.entity.columns, {n: d.columns for n, d in data.events.items()})
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     parser.add_argument("command", choices=("run", "demo", "check"), nargs="?", default="run")

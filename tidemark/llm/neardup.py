@@ -67,7 +67,9 @@ def proposals(sketched: DataFrame) -> DataFrame:
     pairs = keys.join(shared.select("band", "low"), "band").filter("id != low").select("id", "low").distinct()
     pairs = materialize(pairs, "pairs", shrink=4)
     ids = pairs.select("id").union(pairs.select(F.col("low").alias("id"))).distinct()
-    regs = sketched.join(ids, "id", "left_semi").select("id", "n", "registers").dropDuplicates(["id"])
+    # Few ids are broadcast, so that rows of equal sets meet in an aggregate that combines first, not in a join.
+    wanted = sketched.join(F.broadcast(ids) if pairs.count() <= BROADCAST_MEMBERS else ids, "id", "left_semi")
+    regs = wanted.select("id", "n", "registers").dropDuplicates(["id"])
     first = pairs.join(regs.select("id", F.col("n").alias("n_a"), F.col("registers").alias("a")), "id")
     both = first.join(regs.select(F.col("id").alias("low"), F.col("n").alias("n_b"), F.col("registers").alias("b")), "low")
 
@@ -155,7 +157,10 @@ def spanning_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple
 def links(docs: DataFrame, sketched: DataFrame, width: int = WIDTH, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """u, v: verified links between sets' ids that connect what all links connect."""
     ties = components(proposals(sketched))
-    nodes = sketched.groupBy("id").agg(F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("rep"))
+    own = sketched.select("id", "n", "k1", "k2")
+    if ties.count() <= BROADCAST_MEMBERS:
+        own = own.join(F.broadcast(ties.select("id")), "id", "left_semi")
+    nodes = own.groupBy("id").agg(F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("rep"))
     members = materialize(ties.join(nodes, "id").select("id", "root", "n", "rep.k1", "rep.k2"), "members", shrink=8)
     # Clusters of moderate size are one block; larger ones are dealt out, each pair of blocks to a task.
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
@@ -204,7 +209,7 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rooted = components(links(docs, sketched, width))
     rows = sketched.select("doc_id", "k1", "k2", "n", "id")
     rows = materialize(rows.join(rooted, "id", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("root", "id"))).select("doc_id", "k1", "k2", "n", "group"), "grouped", shrink=4)
-    least = rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    least = materialize(rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")), "least", shrink=8)
     out = rows.join(least, "group", "left").withColumn("component_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, memo, text_of
+from .common import arrow_map, memo, small_batches, text_of
 
 #: Order of kinds in every digest and list of spans.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "aws_key", "api_key", "password", "local_phone", "mac")
@@ -202,14 +203,19 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced; a null text stays null. n_chars, if there, follows."""
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
+    place = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo("spans", dict)
-        return texts.map(lambda t: t if not t or not (f := find(t)) else replace(t, f))
-
-    columns = docs.columns
-    out = docs.withColumn("text", cleaned(F.col("text").cast("string")))
-    if "n_chars" in columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*columns)
+        for batch in batches:
+            texts = batch.column(place).cast(pa.string()).to_pylist()
+            clean = [t if not t or not (f := find(t)) else replace(t, f) for t in texts]
+            columns = list(batch.columns)
+            columns[place] = pa.array(clean, pa.string()).cast(columns[place].type)
+            if chars is not None:
+                columns[chars] = pa.array([n if t is None else len(t) for t, n in zip(clean, columns[chars].to_pylist(), strict=True)], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,6 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -237,8 +236,14 @@ def scores(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
 def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores at least the threshold, with all their columns."""
     vectors, network = model(docs, labels)
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(network.scores(pooled(texts.tolist(), memo("codes", Codes), vectors)), dtype=float)
+    place = docs.columns.index("text")
 
-    return docs.filter(score(text_of()) >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = memo("codes", Codes)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).cast(pa.string()).to_pylist()]
+            if texts:
+                yield batch.filter(pa.array(network.scores(pooled(texts, codes, vectors)) >= threshold))
+
+    small_batches(docs.sparkSession, 1000)
+    return docs.mapInArrow(run, docs.schema)

@@ -183,8 +183,9 @@ def spans(docs: DataFrame, length: int = LENGTH, core: int | None = None, held:
     """k1, k2, spans: for each row that loses bytes, [from, to, from, to, ...], which may overlap."""
     core = core or max(1, min(CORE, length * CORE // LENGTH))
     every = anchors(docs, length, core)
-    again = every.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
-    again = materialize(every.join(again, "core"), "anchors")
+    # Written first, so that the join deals both sides anew and can split a rank that very many anchors share.
+    cores = materialize(every.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "cores", shrink=4)
+    again = materialize(every.join(cores, "core"), "anchors")
     reps = again.groupBy("core", "wide").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "pos", "back", "wins")).alias("r"))
     reps = materialize(reps.select("core", "wide", (F.col("c") > 1).alias("many"), "r.*"), "surroundings", shrink=2)
     sorts = reps.groupBy("core").agg(F.count(F.lit(1)).alias("n"))

@@ -333,6 +333,34 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert got == brute.near_duplicates(dict(enumerate(texts)))
 
 
+@pytest.mark.parametrize("block", [neardup.BLOCK, 2])
+def test_buckets_led_by_an_unrelated_document(spark, block):
+    r = np.random.default_rng(6)
+    leader, other = r.integers(0, 500, (2, 200))
+    near = [np.where(r.random(200) < 0.93, other, r.integers(500, 900, 200)) for _ in range(6)]
+    half = np.where(np.arange(200) < 128, leader, other)  # shares 0.64 with the leader: tied, but may not leave with it
+    beside = np.where(np.arange(200) < 80, leader, half)
+    beside[80:110] = 901  # shares 0.49 with the leader, 0.85 with half
+    beside[:16] = 901
+    rows = [(i, 100, [7], x.astype(np.uint16).tobytes()) for i, x in enumerate([leader, half, beside, *near])]
+    sketched = spark.createDataFrame(rows, "id long, n long, bands array<long>, registers binary")
+    ties = [tuple(x) for x in neardup.proposals(sketched, block).collect()]
+    root = brute.components(range(9), ties)
+    assert root[1] == root[2] and len({root[i] for i in range(3, 9)}) == 1 and len(ties) < 9 * 9
+
+
+def test_near_duplicates_among_subsets_of_one_pool(spark):
+    r = random.Random(15)
+    pool = ["w%d" % i for i in range(400)]
+    texts = [r.sample(pool, 200) for _ in range(600)]
+    for i in range(100):
+        kept = r.sample(texts[i], 181)
+        texts.append(kept + r.sample(sorted(set(pool) - set(texts[i])), 19))
+    texts = [" ".join(t) for t in texts]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.groups(docs(spark, texts), 1).collect()}
+    assert got == brute.near_duplicates(dict(enumerate(texts)), 1)
+
+
 def test_five_words(spark):
     texts = near_texts(random.Random(13), 3, 6)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.groups(docs(spark, texts), 5).collect()}

@@ -4,13 +4,19 @@ Each text's word shingles give registers (exponentially spaced, truncated minima
 values propose neighbours: in each bucket of a band, every document is paired with the bucket's
 least, so a bucket gives as many pairs as it has documents. The likelihood of both register arrays
 estimates each pair's similarity; pairs estimated at LOOSE or more tie documents into clusters.
-Within a cluster the full sets decide every link that could join two components, exactly: documents
+Where some member is not tied to its bucket's least, that bucket's members that share fewer than
+TIGHT of the least's registers are compared among themselves: leader after leader, each tied to those that
+share LOOSE of its registers, and only those that share TIGHT leave with it. Buckets beyond BLOCK such
+members are dealt to tasks by pairs of blocks. Within a cluster the full sets decide every link that could join two components, exactly: documents
 outside the largest component so far are matched against all the others by an inverted index. A
 cluster beyond BLOCK documents or BLOCK_SHINGLES is dealt to tasks by pairs of blocks. Only links
 that join components leave a task.
 
-Texts of equal sets are one node throughout. A link at the threshold is missed if no band proposes
-it, of chance (1 - 0.8**5)**40, about 1e-7.
+Texts of equal sets are one node throughout. Two documents of one bucket that share TIGHT - LOOSE of
+their registers or more always enter one cluster, whoever else is in the bucket: if one leaves with a
+leader, the other shares LOOSE with that leader. So a link at the threshold is missed only if no band
+proposes it, of chance (1 - 0.8**5)**40, about 1e-7, or if its registers agree in fewer than 130 places
+of 200 where 160 are expected, of chance about 2.5e-7.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of
 fewer words than `width` has one shingle; repeated rows are in one component; component_id is the
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, arrow_map, arrow_schema, keyed, materialize, memo, partitions, record_batch, text_of
@@ -34,6 +40,7 @@ from .graph import components
 PERCENT = 80
 WIDTH = 2
 LOOSE = 0.5
+TIGHT = 0.85
 BLOCK = 4000
 BLOCK_SHINGLES = 4_000_000
 BROADCAST_MEMBERS = 300_000
@@ -60,12 +67,12 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return arrow_map(keyed(docs).select("doc_id", "text", "k1", "k2"), run, schema)
 
 
-def proposals(sketched: DataFrame) -> DataFrame:
-    """a, b: each document of a bucket with the least of the bucket, estimated at LOOSE or more."""
+def proposals(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a, b: ties at LOOSE or more that connect any two documents of a bucket that can be linked."""
     keys = sketched.select("id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
-    pairs = keys.join(shared.select("band", "low"), "band").filter("id != low").select("id", "low").distinct()
-    pairs = materialize(pairs, "pairs", shrink=4)
+    buckets = materialize(keys.join(shared.select("band", "low"), "band").filter("id != low").select("band", "id", "low"), "buckets", shrink=4)
+    pairs = materialize(buckets.select("id", "low").distinct(), "pairs", shrink=4)
     ids = pairs.select("id").union(pairs.select(F.col("low").alias("id"))).distinct()
     # Few ids are broadcast, so that rows of equal sets meet in an aggregate that combines first, not in a join.
     wanted = sketched.join(F.broadcast(ids) if pairs.count() <= BROADCAST_MEMBERS else ids, "id", "left_semi")
@@ -81,10 +88,70 @@ def proposals(sketched: DataFrame) -> DataFrame:
             return None
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(n, -1) for i in (2, 4))
         n_a, n_b = (batch.column(i).to_numpy().astype(np.float64) for i in (3, 5))
-        keep = pa.array(sketch.joint_estimate(a, b, n_a, n_b) >= LOOSE)
-        return {"u": batch.column(0).filter(keep), "v": batch.column(1).filter(keep)}
+        same = (a == b).mean(axis=1)
+        tied = (sketch.joint_estimate(a, b, n_a, n_b) >= LOOSE) | (same >= LOOSE)
+        return {"id": batch.column(0), "low": batch.column(1), "tied": pa.array(tied), "tight": pa.array(same >= TIGHT)}
+
+    judged = materialize(arrow_map(both.select("id", "low", "a", "n_a", "b", "n_b"), estimate, "id long, low long, tied boolean, tight boolean"), "judged", shrink=4)
+    ties = judged.filter("tied").select(F.col("id").alias("u"), F.col("low").alias("v"))
+    return ties.union(_ties_beside(buckets, judged, regs, block))
+
+
+def _ties_beside(buckets: DataFrame, judged: DataFrame, regs: DataFrame, block: int) -> DataFrame:
+    """u, v: ties within the buckets of which some member is not tied to the least."""
+    open_lows = judged.filter("not tied").select("low").distinct()
+    loose = judged.filter("not tight").join(open_lows, "low", "left_semi").select("id", "low", "tied")
+    left = materialize(buckets.join(loose, ["id", "low"]).select("band", "id", "tied").distinct(), "left", shrink=4)
+    sizes = left.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count_if("tied").alias("t")).filter("c > 1 and t < c")
+    sizes = sizes.select("band", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    rows = left.join(sizes, "band").select("band", "id", "tied", F.explode(_block_pairs("id")).alias("task")).join(regs.select("id", "registers"), "id")
+    rows = rows.select("id", "band", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "tied", "registers")
+    rows = rows.repartition(partitions(regs.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j", "tied", "id")
+    schema = "u long, v long"
+    target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, tied, arrays = None, [], [], []
+
+        def close() -> pa.RecordBatch:
+            found = bucket_ties(np.frombuffer(b"".join(arrays), np.uint16).reshape(len(ids), -1), np.array(tied))
+            return record_batch({"u": [ids[a] for a, _ in found], "v": [ids[b] for _, b in found]}, target)
+
+        for batch in batches:
+            for node, *task, own, registers in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if task != held:
+                    if len(ids) > 1:
+                        yield close()
+                    held, ids, tied, arrays = task, [], [], []
+                ids.append(node)
+                tied.append(own)
+                arrays.append(registers)
+        if len(ids) > 1:
+            yield close()
+
+    return rows.mapInArrow(run, schema)
+
+
+def bucket_ties(registers: np.ndarray, tied: np.ndarray) -> list[tuple[int, int]]:
+    """Ties between the rows of registers, those marked tied being in one cluster already."""
+    label = np.arange(len(registers))
+    label[tied] = label[tied].min(initial=len(registers))
+    left, ties = np.arange(len(registers)), []
+    while len(left) and (label[left] != label[left[0]]).any():
+        i, left = left[0], left[1:]
+        same = (registers[left] == registers[i]).mean(axis=1)
+        near = left[same >= LOOSE]
+        met, at = np.unique(label[near], return_index=True)
+        ties += [(int(i), int(j)) for j in near[at[met != label[i]]]]
+        label[np.isin(label, met)] = label[i]
+        left = left[same < TIGHT]
+    return ties
+
 
-    return arrow_map(both.select("id", "low", "a", "n_a", "b", "n_b"), estimate, "u long, v long")
+def _block_pairs(node: str) -> Column:
+    """The pairs of blocks, of `blocks` in all, that a node takes part in."""
+    own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
 
 
 class _Merged:
@@ -166,9 +233,7 @@ def links(docs: DataFrame, sketched: DataFrame, width: int = WIDTH, block: int =
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / block_shingles)).cast("int")
     sizes = sizes.select("root", F.col("s").alias("weight"), blocks.alias("blocks"))
-    dealt = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    dealt = dealt.select("id", "k1", "k2", "root", "blocks", "weight", others.alias("tasks"))
+    dealt = members.join(sizes, "root").select("id", "k1", "k2", "root", "blocks", "weight", _block_pairs("id").alias("tasks"))
     count = members.count()
     if count <= BROADCAST_MEMBERS:
         dealt = F.broadcast(dealt)

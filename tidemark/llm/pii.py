@@ -57,7 +57,7 @@ RULES = {
     "mac": Rule(re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])"), 0.65, ("mac", "device", "address")),
 }
 # One quick test tells whether any further kind can be in a text at all.
-_HINT = re.compile(r"[0-9]{2}|[=:]|sk-|xox")
+_HINT = re.compile(r"[0-9]{2}|[=:]|sk-|xox|A[KS]IA|AIza|gh[pousr]_")
 
 
 class Span(NamedTuple):

@@ -80,6 +80,13 @@ def test_each_kind_alone(kind, text):
     assert [s.kind for s in pii.find(text)] == [kind]
 
 
+@pytest.mark.parametrize("text", ["IBAN {} BIC COBADEFFXXX", "{} 100 EUR", "{} AND {}", "AT11 {}", "no {}.", "{}\n{}"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"])
+def test_ibans_with_text_behind(text, iban):
+    text = text.replace("{}", iban)
+    assert {text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"} == {iban} and iban not in pii.replace(text, pii.find(text))
+
+
 def test_pii_frames(spark):
     out = {(r["doc_id"], r["n_email"], r["n_card"]) for r in pii.digest(docs(spark, ["mail a@b.co", "card 4111 1111 1111 1111", None])).collect()}
     assert out == {(0, 1, 0), (1, 0, 1), (2, 0, 0)}

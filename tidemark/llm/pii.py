@@ -39,6 +39,10 @@ _DIGIT = re.compile(r"[0-9]")
 IBAN_LENGTH = {"AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
 
 
+# The characters after the two letters and two digits are as many as the country has, so that what follows is left out.
+_IBAN = "|".join(f"{country}[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}" for country, length in IBAN_LENGTH.items())
+
+
 class Rule(NamedTuple):
     """A further kind: its pattern, the score before any evidence, and the words that add to it."""
 
@@ -48,7 +52,7 @@ class Rule(NamedTuple):
 
 
 RULES = {
-    "iban": Rule(re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), 0.2, ("iban", "bank", "account", "konto", "compte", "cuenta")),
+    "iban": Rule(re.compile(rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])"), 0.2, ("iban", "bank", "account", "konto", "compte", "cuenta")),
     "ssn": Rule(re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0.5, ("ssn", "social", "security", "tax", "insurance")),
     "aws_key": Rule(re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), 0.9, ("aws", "key", "access")),
     "api_key": Rule(re.compile(r"(?<![A-Za-z0-9])(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})"), 0.9, ("key", "token", "secret")),
@@ -133,6 +137,16 @@ def _context(text: str, start: int, end: int, words: tuple[str, ...]) -> float:
     return 0.25 if tokens.intersection(words) else 0.0
 
 
+def _matches(kind: str, text: str):
+    """Spans of a further kind's pattern. After an IBAN that fails its check, the search goes on behind its first letter."""
+    pattern, at = RULES[kind].pattern, 0
+    while m := pattern.search(text, at):
+        good = kind != "iban" or mod97(m.group())
+        at = m.end() if good else m.start() + 1
+        if good:
+            yield m.span()
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a text, by kind as in KINDS, then by start; code points, end exclusive."""
     if not text:
@@ -147,12 +161,9 @@ def find(text: str | None) -> list[Span]:
         for s in spans:
             taken[s.start : s.end] = b"\x01" * (s.end - s.start)
         for kind, rule in RULES.items():
-            for m in rule.pattern.finditer(text):
-                start, end = m.span()
+            for start, end in _matches(kind, text):
                 if taken.find(1, start, end) >= 0:
                     continue
-                if kind == "iban" and not mod97(m.group()):
-                    continue
                 score = rule.prior + (0.6 if kind == "iban" else 0.0) + _context(text, start, end, rule.words)
                 if score >= THRESHOLD:
                     spans.append(Span(kind, start, end, min(score, 1.0)))

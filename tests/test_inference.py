@@ -174,3 +174,30 @@ def test_shuffle_keeps_the_values(spark):
 def test_smd(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 4.0), (0, 0.0), (0, 2.0)], "treated int, x double")
     assert metrics.smd(df, ["x"], "treated").first()["smd"] == pytest.approx(2 / math.sqrt(1))
+
+
+def test_balance_takes_the_whole_crosstab(spark):
+    from tidemark.operators import experiment
+
+    rows = spark.range(120_000).selectExpr("if(id % 2 = 0, 'a', 'b') as variant", "cast(id div 2 as string) as place")
+    found = experiment.balance(rows, ["place"])[0]
+    assert abs(found["statistic"]) < 1e-6 and found["passed"]
+    cells = experiment.contingency(rows.filter("place % 7 < 3 or variant = 'a'").selectExpr("variant", "cast(place % 7 as string) as place"), "place").collect()
+    got = experiment.independence(rows.filter("place % 7 < 3 or variant = 'a'").selectExpr("variant", "cast(place % 7 as string) as place"), "place")
+    want = experiment.chi_square(cells)
+    assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-6 * want[0]
+
+
+def test_adjustment_keeps_every_level(spark):
+    import numpy as np
+
+    from tidemark.operators import experiment
+
+    r = np.random.default_rng(3)
+    n = 1500
+    place, shop, size = r.integers(0, 60, n), r.integers(0, 25, n), r.normal(size=n)
+    treated = r.random(n) < 0.2 + 0.6 * (place / 60)
+    churned = (r.random(n) < 0.1 + 0.1 * treated + 0.5 * (place / 60) + 0.2 * (shop / 25)).astype(int)
+    rows = spark.createDataFrame([("a" if t else "control", None if p == 0 else f"p{p}", f"s{s}", float(z), int(y)) for t, p, s, z, y in zip(treated, place, shop, size, churned, strict=True)], "variant string, place string, shop string, size double, churned int")
+    x = np.column_stack([treated, size, place[:, None] == np.arange(60), shop[:, None] == np.arange(25)]).astype(float)
+    assert abs(experiment.adjusted(rows, "a", "control", ["place", "shop", "size"]) - np.linalg.lstsq(x, churned, rcond=None)[0][0]) < 1e-9

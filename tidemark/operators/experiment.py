@@ -110,11 +110,30 @@ def chi_square(cells: list) -> tuple[float, int] | None:
     return float((gap**2 / expected).sum()), (len(left) - 1) * (len(right) - 1)
 
 
+def independence(rows: DataFrame, column: str) -> tuple[float, int] | None:
+    """chi_square of the whole crosstab, by aggregates per value; only the totals reach the driver."""
+    cells = contingency(rows, column)
+    left = {r["variant"]: r["n"] for r in cells.groupBy("variant").agg(F.sum("n").alias("n")).collect()}
+    total = sum(left.values())
+    counts = {v: F.sum(F.when(F.col("variant") == v, F.col("n")).otherwise(0)).cast("double") for v in left}
+    values = cells.groupBy("value").agg(F.sum("n").alias("of"), *[c.alias(f"o{i}") for i, c in enumerate(counts.values())])
+    parts = F.lit(0.0)
+    for i, n in enumerate(left.values()):
+        expected = F.col("of") * F.lit(n / total)
+        parts = parts + (F.col(f"o{i}") - expected) ** 2 / expected
+    found = values.agg(F.count(F.lit(1)).alias("n"), F.sum(parts).alias("statistic")).first() if left else None
+    if found is None or found["n"] < 2 or len(left) < 2:
+        return None
+    if found["n"] == len(left) == 2:
+        return chi_square(cells.collect())
+    return found["statistic"], (len(left) - 1) * (found["n"] - 1)
+
+
 def balance(rows: DataFrame, columns: list[str]) -> list[dict]:
     out, types = [], dict(rows.dtypes)
     for column in columns[:COVARIATES]:
         if types[column] in ("string", "boolean", "date"):
-            found = chi_square(contingency(rows, column).limit(100_000).collect())
+            found = independence(rows, column)
             if found is None:
                 continue
             statistic, p = found[0], chi_square_tail(*found)
@@ -127,28 +146,40 @@ def balance(rows: DataFrame, columns: list[str]) -> list[dict]:
     return out
 
 
-def adjusted(rows: DataFrame, variant: str, control: str, columns: list[str], categories: bool = True, levels: int = 20) -> float | None:
-    """Coefficient of the treatment in least squares with covariates; nulls take the mean. From one aggregate of cross products."""
+def adjusted(rows: DataFrame, variant: str, control: str, columns: list[str], categories: bool = True) -> float | None:
+    """Coefficient of the treatment in least squares with covariates; null numbers take the mean, null categories are a level.
+
+    Every level of every category takes part. The category of most levels is absorbed by means within its levels,
+    which is exact; the others give a column for each level but one. From one aggregate of cross products.
+    """
     both = rows.filter(F.col("variant").isin(variant, control))
-    types, parts = dict(rows.dtypes), []
+    types, parts, named = dict(rows.dtypes), [], []
     for c in columns:
-        if types[c] in ("string", "boolean"):
-            if categories:
-                top = [r[c] for r in both.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.col("count").desc(), c).limit(levels).collect()]
-                parts += [F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)) for v in sorted(top, key=str)[1:]]
-        else:
+        if types[c] not in ("string", "boolean"):
             parts.append(F.col(c).cast("double"))
-    if not parts:
+        elif categories:
+            named.append(c)
+    levels = both.agg(F.count(F.lit(1)), *[F.count_distinct(F.struct(c)).alias(c) for c in named]).first().asDict()
+    named = sorted((c for c in named if levels[c] > 1), key=lambda c: -levels[c])
+    for c in named[1:]:
+        values = sorted((r[c] for r in both.select(c).distinct().collect()), key=lambda v: (v is not None, str(v)))
+        parts += [F.col(c).eqNullSafe(F.lit(v)).cast("double") for v in values[1:]]
+    if not parts and not named:
         return None
-    means = both.agg(*[F.avg(p).alias(f"m{i}") for i, p in enumerate(parts)], *[F.stddev_samp(p).alias(f"s{i}") for i, p in enumerate(parts)]).first()
-    usable = [F.coalesce(p, F.lit(means[f"m{i}"])) - F.lit(means[f"m{i}"]) for i, p in enumerate(parts) if means[f"s{i}"]]
-    if not usable:
+    usable = []
+    if parts:
+        means = both.agg(*[F.avg(p).alias(f"m{i}") for i, p in enumerate(parts)], *[F.stddev_samp(p).alias(f"s{i}") for i, p in enumerate(parts)]).first()
+        usable = [(F.coalesce(p, F.lit(means[f"m{i}"])) - F.lit(means[f"m{i}"])) / F.lit(means[f"s{i}"]) for i, p in enumerate(parts) if means[f"s{i}"]]
+    if not usable and not named:
         return None
-    x = [F.lit(1.0), (F.col("variant") == variant).cast("double"), *usable]
+    x = [(F.col("variant") == variant).cast("double"), *usable, F.col("churned").cast("double")]
     k = len(x)
-    row = both.agg(*[F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(x[i] * F.col("churned")).alias(f"y{i}") for i in range(k)]).first()
-    left = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-    return float((np.linalg.pinv(left) @ np.array([row[f"y{i}"] for i in range(k)], float))[1])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    level = F.col(named[0]) if named else F.lit(0)
+    within = both.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i, j in pairs])
+    row = within.agg(F.sum("n").alias("n"), *[F.sum(F.col(f"x{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")).alias(f"x{i}_{j}") for i, j in pairs]).first()
+    cross = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) / row["n"]
+    return float((np.linalg.pinv(cross[:-1, :-1], rcond=1e-10, hermitian=True) @ cross[:-1, -1])[0])
 
 
 def run(spec: Spec, entity: DataFrame, timeline: Timeline) -> Report:

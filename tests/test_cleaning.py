@@ -96,3 +96,8 @@ def test_ingest(spark, tmp_path):
     assert ingest.write(out, str(tmp_path / "o"), dry_run=True) and not (tmp_path / "o").exists()
     ingest.write(out, str(tmp_path / "o"))
     assert spark.read.option("header", True).csv(str(tmp_path / "o/subscriptions.csv")).count() == 3
+
+
+def test_day_first_reads_the_whole_column(spark):
+    early = spark.range(20_000).selectExpr("'03/04/2024' as c")
+    assert tuple(C.day_first(early.union(spark.createDataFrame([("03/25/2024",)], "c string")), "c").first()) == (False, "month-first")

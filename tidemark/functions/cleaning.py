@@ -13,7 +13,6 @@ BLANKS = ["", "na", "n/a", "n.a.", "nan", "null", "none", "nil", "missing", "unk
 YES = ["1", "y", "yes", "true", "t", "ja", "j"]
 NO = ["0", "n", "no", "false", "f", "nee"]
 DATE_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "M-d-yyyy", "M/d/yyyy", "MMMM yyyy", "MMM yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM", "yyyy"]
-DAY_FIRST_SAMPLE = 5000
 
 
 def bound(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -86,9 +85,9 @@ def date(c: Column | str, day_first: bool = True) -> Column:
     return bound(tidy, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in patterns], t.try_cast("timestamp")).cast("date"))
 
 
-def day_first(df: DataFrame, column: str, sample: int = DAY_FIRST_SAMPLE) -> DataFrame:
-    """day_first, verdict: from components above 12 in slashed or dashed dates of up to `sample` values, the documented bound of the sniff."""
-    parts = df.select(clean(column).alias("t")).filter("t is not null").limit(sample).select(F.regexp_extract("t", r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}", 1).try_cast("int").alias("a"), F.regexp_extract("t", r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}", 2).try_cast("int").alias("b"))
+def day_first(df: DataFrame, column: str) -> DataFrame:
+    """day_first, verdict: from components above 12 in slashed or dashed dates of the whole column."""
+    parts = df.select(clean(column).alias("t")).filter("t is not null").select(F.regexp_extract("t", r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}", 1).try_cast("int").alias("a"), F.regexp_extract("t", r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}", 2).try_cast("int").alias("b"))
     counts = parts.agg(F.count_if(F.col("a") > 12).alias("first"), F.count_if(F.col("b") > 12).alias("second"))
     verdict = F.when((F.col("first") > 0) & (F.col("second") > 0), "MIXED").when(F.col("second") > 0, "month-first").when(F.col("first") > 0, "day-first").otherwise("assumed day-first")
     return counts.select((verdict != "month-first").alias("day_first"), verdict.alias("verdict"))

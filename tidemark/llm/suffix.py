@@ -1,7 +1,6 @@
-"""Removal of long repeated byte strings, by sparse distributed prefix doubling.
+"""Removal of long repeated byte strings, by hashes of windows around anchors, in place of prefix doubling.
 
-Positions are ranked by the bytes that follow them and ranked again at growing offsets; a position
-is dropped once its rank is unique. Not every position takes part: of every window of `length`
+No rank pairs are sorted at growing offsets. A position is dropped once its hash is unique. Not every position takes part: of every window of `length`
 bytes the rightmost least hash of its runs of CORE bytes marks an anchor, and equal windows mark
 the same one. So it is enough to rank anchors.
 

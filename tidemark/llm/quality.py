@@ -36,6 +36,7 @@ DIMENSIONS = 32
 NONZERO = 4
 SAMPLE = 20_000
 HIDDEN = 24
+LONGEST = 32
 FOLDS, HELD_OUT = 3, 1
 
 _SHAPES = VOCABULARY // 4  # buckets below are shapes', the rest words'
@@ -56,7 +57,7 @@ def shape_of(word: str) -> str:
             return "A" + tail
         if body[0].isupper() and body[1:].islower():
             return "Aa" + tail
-    shape = word[:64]
+    shape = word
     for pattern, sign in _CLASSES:
         shape = pattern.sub(sign, shape)
     return shape
@@ -72,14 +73,22 @@ class Codes(dict):
             self.clear()
         shape = shape_of(word)
         a = xxhash.xxh3_64_intdigest(word) % (VOCABULARY - _SHAPES) + _SHAPES
-        b = xxhash.xxh3_64_intdigest(shape[:8]) % (_SHAPES - 1) + 1
+        b = xxhash.xxh3_64_intdigest(shape) % (_SHAPES - 1) + 1
         value = self[word] = a << 16 | b
         return value
 
 
+def words_of(text: str) -> list[str]:
+    """Words between white space; a run of more than LONGEST characters (base64, prose without blanks) is cut into words of that length."""
+    words = text.split()
+    if words and len(max(words, key=len)) > LONGEST:
+        words = [w[at : at + LONGEST] for w in words for at in range(0, len(w), LONGEST)]
+    return words
+
+
 def encode(texts: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets, shape buckets and document numbers of all words of the texts, in order."""
-    lists = [t.split() for t in texts]
+    lists = [words_of(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
     both = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int64, len(owner))
     words, shapes = both >> 16, both & 0xFFFF
@@ -104,7 +113,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     fields = [f"v{i}" for i in range(DIMENSIONS)]
     schema = "bucket int, " + ", ".join(f"{f} long" for f in fields)
     target = arrow_schema(schema)
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, total = memo("codes", Codes), np.zeros(VOCABULARY * DIMENSIONS)
@@ -245,5 +254,5 @@ def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFram
             if texts:
                 yield batch.filter(pa.array(network.scores(pooled(texts, codes, vectors)) >= threshold))
 
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontam, graph, licenses, neardup, packing, pii, quality, queries, shards, suffix, tokens, winnow
+from tidemark.llm.common import range_part
 from tidemark.llm.rolling import kgrams, mix, window_minima
 
 from . import brute
@@ -87,6 +88,20 @@ def test_ibans_with_text_behind(text, iban):
     assert {text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"} == {iban} and iban not in pii.replace(text, pii.find(text))
 
 
+def test_long_runs_are_read_once():
+    import time
+
+    for text in ("1" * 1_000_000, "1" * 500_000 + "." + "2" * 500_000, "1." * 300_000, "+1" + "(" * 500_000, "@" * 300_000, "a" * 500_000 + "@" + "b" * 500_000):
+        began = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - began < 2.0
+
+
+def test_pii_of_empty_tables(spark):
+    assert pii.redact(empty(spark)).count() == 0 and pii.spans(empty(spark)).count() == 0
+    assert pii.redact(odd(spark)).columns == odd(spark).columns and pii.redact(odd(spark)).count() == 9
+
+
 def test_pii_frames(spark):
     out = {(r["doc_id"], r["n_email"], r["n_card"]) for r in pii.digest(docs(spark, ["mail a@b.co", "card 4111 1111 1111 1111", None])).collect()}
     assert out == {(0, 1, 0), (1, 0, 1), (2, 0, 0)}
@@ -113,6 +128,21 @@ def test_quality(spark):
     assert quality.scores(odd(spark), vectors, net).count() == 9 and quality.scores(empty(spark), vectors, net).count() == 0
 
 
+def test_long_words_count_whole():
+    head = "ab" * 200
+    one, two = (quality.pooled([head + tail], quality.Codes(), np.random.default_rng(1).normal(size=(quality.VOCABULARY, quality.DIMENSIONS))) for tail in ("x" * 300, "7-" * 150))
+    assert not np.allclose(one, two)
+    assert quality.words_of("a " + "b" * 70) == ["a", "b" * 32, "b" * 32, "b" * 6] and quality.words_of(" ") == []
+    assert quality.shape_of("aB9" + "-x" * 40) != quality.shape_of("aB9" + "-x" * 39 + "-9")
+    assert quality.shape_of("Wörter,") == "Aa," and quality.shape_of("x" * 9 + "!!!") == "a!"
+
+
+def test_quality_of_empty_tables(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.good(empty(spark), labels).count() == 0 and quality.good(empty(spark), labels.limit(0)).columns == empty(spark).columns
+    assert quality.good(odd(spark), labels).columns == odd(spark).columns
+
+
 def test_quality_without_labels(spark):
     d = docs(spark, ["a b c", None])
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -153,6 +183,49 @@ def test_fingerprints(spark):
     assert set(winnow.kept(texts[0])[1]) & set(winnow.kept(texts[1])[1])
 
 
+def plain_kept(text, gram, window):
+    """Winnowing word for word: of each window of grams the rightmost of the least hashes."""
+    codes = [ord(c) for c in text]
+    if not codes:
+        return []
+    gram = min(gram, len(codes))
+    hashes = [mix(np.array([sum((c + 1) * pow(0x9E3779B97F4A7C15 | 1, gram - 1 - j, 2**64) for j, c in enumerate(codes[i : i + gram])) % 2**64], np.uint64))[0].item() for i in range(len(codes) - gram + 1)]
+    low = [h >> 20 for h in hashes]  # the low bits of a hash do not order
+    places = {max(range(i, min(i + window, len(hashes))), key=lambda p: (-low[p], p)) for i in range(max(1, len(hashes) - window + 1))}
+    return [(p, hashes[p] >> 24) for p in sorted(places)]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text("ab é漢", max_size=260))
+def test_fingerprints_equal_plain_winnowing(text):
+    positions, hashes = winnow.kept(text)
+    assert list(zip(positions.tolist(), hashes.tolist(), strict=True)) == plain_kept(text, winnow.GRAM, winnow.WINDOW)
+
+
+@pytest.mark.parametrize("ids", [[None] * 40, [7] * 30 + [None] * 10, [7, 8] * 20])
+def test_fingerprints_of_many_rows_of_one_id(spark, ids):
+    """Equal ids go by the hash of the text, and do not all lie in one range."""
+    texts = [passage(random.Random(i), 12) for i in range(len(ids))]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    rows = winnow.edited_and_next(d).collect()
+    key = {r["text"]: (~(r["k1"]), r["k2"]) for r in winnow.keyed(d).collect()}
+    order = sorted(texts, key=key.get)
+    want = []
+    for i, t in enumerate(order):
+        after, half = order[(i + 1) % len(order)], len(t) // 2
+        want.append(hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest())
+    assert sorted(r["edited_sha256"] for r in rows) == sorted(want)
+    assert winnow.in_turn(d).select("part").distinct().count() > 1
+
+
+def test_range_part(spark):
+    bounds = [(-5, 3), (-5, 9), (0, -(2**63)), (7, 7)]
+    rows = [(-9, 0), (-5, 2), (-5, 3), (-5, 8), (-5, 9), (0, -(2**63)), (0, 5), (7, 6), (7, 7), (99, 0)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", range_part(bounds, "a", "b").alias("p")).collect()
+    assert all(r["p"] == sum(b <= (r["a"], r["b"]) for b in bounds) for r in got) and len(got) == 10
+    assert spark.range(2).select(range_part([], "id").alias("p")).distinct().collect()[0]["p"] == 0
+
+
 def test_fingerprint_guarantee():
     r = random.Random(9)
     for _ in range(30):

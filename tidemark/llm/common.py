@@ -40,23 +40,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir, or the one the session was given since.
+
+    Where there is neither, a session with a local master, as in tests, gets a folder of its own.
+    On a cluster that would be one machine's disk, so it is an error there.
+    """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
+    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if configured:
         return configured
-    set_before = sc.getCheckpointDir()
-    if set_before is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        set_before = sc.getCheckpointDir()
-    return set_before
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()
+
+
+_TABLES = "_tidemark_path"
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd", shrink: int = 1) -> DataFrame:
     """Write df as Parquet to the shared folder and read it: lineage ends, every executor sees it.
 
     A table that is small beside the documents is written by 1/shrink of the shuffle partitions, so
-    that it is not scattered over many tiny files. The table is removed when the driver's process ends.
+    that it is not scattered over many tiny files. The table is removed by drop(), or when the
+    driver's process ends.
     """
     spark = df.sparkSession
     if shrink > 1:
@@ -64,7 +71,15 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", shrink: int
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _TABLES, path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that materialize() wrote and that no later plan reads."""
+    for table in tables:
+        _remove(table.sparkSession, getattr(table, _TABLES))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -80,9 +95,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch holds, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def range_part(bounds: list[tuple[int, ...]], *columns: str) -> Column:
+    """How many of the rising bounds are at or below the row's columns, all long: by bisection.
+
+    The bounds are one array literal for each column, so the plan grows by a number for each bound.
+    """
+    if not bounds:
+        return F.lit(0)
+    arrays = [F.expr(f"array({','.join(f'{b[i]}L' for b in bounds)})") for i in range(len(columns))]
+
+    def at_or_below(place: Column) -> Column:
+        found = F.lit(True)
+        for array, column in reversed(list(zip(arrays, columns, strict=True))):
+            bound = F.get(array, place - 1)
+            found = (bound < F.col(column)) | ((bound == F.col(column)) & found)
+        return found
+
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda done, step: F.when((done + step <= len(bounds)) & F.coalesce(at_or_below(done + step), F.lit(False)), done + step).otherwise(done))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, in rows and in bytes, since texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, keyed, materialize, partitions, record_batch, small_batches
+from .common import arrow_schema, keyed, materialize, partitions, range_part, record_batch, small_batches
 
 SIZE = 4096
 CLOSING = 2
@@ -69,7 +69,7 @@ def curve_keys(rows: list[bytes]) -> np.ndarray:
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, spot (place in the order), tokens, ids (16 bits each, with the closing id)."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark)
     schema = "doc_id long, spot long, tokens long, ids binary"
     target = arrow_schema(schema)
 
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     # Range bounds: quantiles of the place in the order, as many as there are partitions.
     quantiles = table.agg(F.percentile_approx("spot", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]
     bounds = sorted(set(quantiles or []))
-    ranged = table.withColumn("part", _bucket(bounds))
+    ranged = table.withColumn("part", range_part([(b,) for b in bounds], "spot"))
     totals = {r["part"]: r["s"] for r in ranged.groupBy("part").agg(F.sum("tokens").alias("s")).collect()}
     offsets, done = {}, 0
     for p in sorted(totals):
@@ -121,21 +121,9 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
                 at[p] = place
             yield record_batch(out, target)
 
-    order = ranged.repartition(n, "part").sortWithinPartitions("part", "spot", F.col("doc_id").asc_nulls_first())
+    order = ranged.repartitionById(n, F.col("part")).sortWithinPartitions("part", "spot", F.col("doc_id").asc_nulls_first())
     return order.select("doc_id", "part", "ids").mapInArrow(run, schema)
 
 
 def _wide(ids: bytes) -> bytes:
     return np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-
-
-def _bucket(bounds: list[int]):
-    """How many bounds are at or below spot, by bisection written as nested conditions."""
-
-    def between(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("spot") < bounds[middle], between(low, middle)).otherwise(between(middle + 1, high))
-
-    return between(0, len(bounds))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, keyed, partitions, record_batch, small_batches
+from .common import arrow_map, arrow_schema, keyed, partitions, range_part, record_batch, small_batches
 from .rolling import kgrams, mix, window_minima
 
 GRAM = 24
@@ -62,46 +63,47 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint for each row of docs."""
-    from .common import arrow_map
-
     def run(batch):
         return {"doc_id": batch.column(0), "fingerprint": [to_string(*kept(t)) for t in batch.column(1).to_pylist()]}
 
     return arrow_map(keyed(docs).select("doc_id", "text"), run, "doc_id long, fingerprint string")
 
 
+def _bounds(quantiles: list[int], parts: int) -> list[tuple[int, int]]:
+    """Rising lower ends (turn, k2) of all ranges but the first. An id that holds several quantiles is cut by k2, the hash of the text."""
+    times = Counter(quantiles)
+    out: set[tuple[int, int]] = set()
+    for turn, n in times.items():
+        out.update((turn, -(2**63) + (2**64 * i) // n) for i in range(n))
+    return sorted(out)[: parts - 1]
+
+
 def in_turn(docs: DataFrame) -> DataFrame:
-    """part, k1, k2, doc_id, text, lead: rows dealt to ranges of doc_id, each with a copy (lead) of the row that follows it.
+    """part, turn, k1, k2, doc_id, text, lead: rows dealt to ranges of falling doc_id, each with a copy (lead) of the row that follows it.
 
-    Ranges come from quantiles of the ids. The first row of each range is found by an aggregate,
-    and its text goes twice, to its own range and to the range before. So one shuffle moves the texts once.
+    turn is the id with all bits turned, so that it rises where the id falls. Ranges come from
+    quantiles of it; an id that fills several ranges is cut by the hash of the text. The first row
+    of each range is found by an aggregate, and its text goes twice, to its own range and to the
+    range before. So one shuffle moves the texts once.
     """
-    spark, base = docs.sparkSession, keyed(docs)
+    spark = docs.sparkSession
+    base = keyed(docs).withColumn("turn", F.bitwise_not("k1"))
     n = partitions(spark)
-    ids = base.select("k1", "k2")
-    quantiles = ids.agg(F.percentile_approx("k1", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]
-    bounds = sorted(set(quantiles or []))
-    base, ids = (x.withColumn("part", _part(bounds)) for x in (base, ids))
-    firsts = {r["part"]: tuple(r["f"]) for r in ids.groupBy("part").agg(F.min(F.struct(F.bitwise_not("k1").alias("a"), "k2")).alias("f")).collect()}
-    parts = sorted(firsts, reverse=True)
-    before = [(firsts[p][0], firsts[p][1], parts[i - 1]) for i, p in enumerate(parts)]
+    ids = base.select("turn", "k2")
+    quantiles = ids.agg(F.percentile_approx("turn", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]
+    bounds = _bounds(quantiles or [], n)
+    base, ids = (x.withColumn("part", range_part(bounds, "turn", "k2")) for x in (base, ids))
+    firsts = {r["part"]: tuple(r["f"]) for r in ids.groupBy("part").agg(F.min(F.struct("turn", "k2")).alias("f")).collect()}
+    parts = sorted(firsts)
+    before = [(*firsts[p], parts[i - 1]) for i, p in enumerate(parts)]
     if not before:
-        return base.select("part", "k1", "k2", "doc_id", "text", F.lit(False).alias("lead"))
-    edge = spark.createDataFrame(before, "turned long, e2 long, other int")  # one row per range
-    copies = base.join(F.broadcast(edge), (F.bitwise_not("k1") == F.col("turned")) & (F.col("k2") == F.col("e2")), "left")
-    targets = F.when(F.col("other").isNull(), F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("l")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("l")), F.struct(F.col("other").alias("p"), F.lit(True).alias("l"))))
-    dealt = copies.select("k1", "k2", "doc_id", "text", F.explode(targets).alias("t"))
-    return dealt.select(F.col("t.p").alias("part"), "k1", "k2", "doc_id", "text", F.col("t.l").alias("lead"))
-
-
-def _part(bounds: list[int]):
-    def between(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("k1") < bounds[middle], between(low, middle)).otherwise(between(middle + 1, high))
-
-    return between(0, len(bounds))
+        return base.select("part", "turn", "k1", "k2", "doc_id", "text", F.lit(False).alias("lead"))
+    edge = spark.createDataFrame(before, "turn long, k2 long, other int")  # one row per range
+    copies = base.join(F.broadcast(edge), ["turn", "k2"], "left")
+    own = F.struct(F.col("part").alias("p"), F.lit(False).alias("l"))
+    targets = F.when(F.col("other").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("other").alias("p"), F.lit(True).alias("l"))))
+    dealt = copies.select("turn", "k1", "k2", "doc_id", "text", F.explode(targets).alias("t"))
+    return dealt.select(F.col("t.p").alias("part"), "turn", "k1", "k2", "doc_id", "text", F.col("t.l").alias("lead"))
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     target = arrow_schema(schema)
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # part, doc_id, text, its positions and hashes
@@ -132,7 +134,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
                 held = None if lead else (part, doc_id, text, own)
             yield record_batch(out, target)
 
-    rows = in_turn(docs).repartition(partitions(spark), "part")
+    rows = in_turn(docs).repartitionById(partitions(spark), F.col("part"))
     # A copy of the following row comes last in its part.
-    rows = rows.sortWithinPartitions("part", "lead", F.col("k1").desc(), "k2")
+    rows = rows.sortWithinPartitions("part", "lead", "turn", "k2")
     return rows.select("part", "doc_id", "text", "lead").mapInArrow(run, schema)

@@ -347,15 +347,181 @@ def test_licenses(spark):
     assert licenses.scan(f.limit(0)).count() == 0
 
 
-def test_pruned_scan_equals_scoring_everything():
-    r = random.Random(2)
-    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words(t)}) + ["zork", "blah"]
-    m = licenses.Matcher(licenses.TEMPLATES, 1000, {w: r.choice([1, 5, 400, 900]) for w in vocabulary})
-    for _ in range(400):
-        line = " ".join(r.choices(vocabulary, k=r.randint(1, 14)))
-        score = m.best(line)
-        found, best, _ = m.scan(line)
-        assert (found is not None) == (score[0] >= licenses.THRESHOLD)
+APACHE_HEAD = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+GPL_HEAD = """                    GNU {0}GENERAL PUBLIC LICENSE
+                       Version {1}
+
+ Copyright (C) Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU {2}General Public License is a free, copyleft license for
+software and other kinds of works. Use the GNU Lesser General
+Public License instead of this License to link with proprietary applications.
+"""
+GPL_NOTICE = """/*
+ * {0} is free software{1} you can redistribute it and/or modify
+ * it under the terms of the GNU {2}General Public License as published by
+ * the Free Software Foundation{3} either version {4} of the License, or
+ * (at your option) any later version.
+ */
+int main() {{ return 0; }}"""
+BSD = """Copyright (c) 2001, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+CLAUSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+NOTICES = [
+    ("Apache-2.0", APACHE_HEAD),
+    ("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\nimport os'),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\npackage main"),
+    ("GPL-3.0", GPL_HEAD.format("", "3, 29 June 2007", "")),
+    ("GPL-2.0", GPL_HEAD.format("", "2, June 1991", "")),
+    ("LGPL-3.0", GPL_HEAD.format("LESSER ", "3, 29 June 2007", "Lesser ")),
+    ("LGPL-2.1", GPL_HEAD.format("LESSER ", "2.1, February 1999", "Lesser ")),
+    ("AGPL-3.0", GPL_HEAD.format("AFFERO ", "3, 19 November 2007", "Affero ")),
+    ("GPL-3.0", GPL_NOTICE.format("This program", ":", "", ",", "3")),
+    ("GPL-2.0", GPL_NOTICE.format("This program", ";", "", ";", "2")),
+    ("GPL-3.0", GPL_NOTICE.format("Frobnicate", ":", "", ",", "3")),
+    ("LGPL-2.1", GPL_NOTICE.format("This library", ";", "Lesser ", ";", "2.1")),
+    ("LGPL-3.0", GPL_NOTICE.format("This library", ":", "Lesser ", ",", "3")),
+    ("LGPL-2.0", GPL_NOTICE.format("This library", ";", "Library ", ";", "2")),
+    ("AGPL-3.0", GPL_NOTICE.format("This program", ":", "Affero ", ",", "3")),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0+"),
+    ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "Licensed under the GPLv2"),
+    ("BSD-2-Clause", BSD.format("")),
+    ("BSD-3-Clause", BSD.format(CLAUSE)),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be\nfound in the LICENSE file."),
+    ("BSD-3-Clause", "Licensed under the New BSD License."),
+    ("MIT", MIT_FILE),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "This project is licensed under the MIT License - see the LICENSE.md file for details"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License\n\nCopyright (c) 2011\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt or copy at\n//  http://www.boost.org/LICENSE_1_0.txt)"),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"),
+    ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-SA-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    (None, "Licensed to nobody in particular under the terms of your contract, version 3."),
+    (None, "SPDX-License-Identifier: Proprietary-1.0"),
+    (None, "Copyright (c) 2020 A. Person. All rights reserved."),
+    (None, "He had a driving licence and permission to use the common, plainly."),
+    (None, "Licensed under the Apache License, Version 1.1."),
+    (None, "GNU General Public License"),
+    (None, "mit Lizenz und mit Erlaubnis, licensed mit Freude"),
+]
+
+
+@pytest.mark.parametrize("seen", [{}, {"the": 900, "license": 800, "licensed": 500, "under": 700, "public": 300, "general": 200}])
+def test_real_notices(seen):
+    m = licenses.Matcher(licenses.TEMPLATES, 1000, seen)
+    wrong = [(want, m.scan(text)[:2], text) for want, text in NOTICES if m.scan(text)[0] != want]
+    assert not wrong and len(NOTICES) >= 60
+
+
+def test_a_notice_inside_a_long_text():
+    r = random.Random(3)
+    m = licenses.Matcher(licenses.TEMPLATES, 1000, {})
+    for want, text in NOTICES:
+        long = "\n\n".join([passage(r, 300), text, passage(r, 300)])
+        assert m.scan(long)[0] == want and m.scan(long)[2] < 0.5
+
+
+def test_cosines_and_frequencies_equal_plain_ones(spark):
+    texts = ["Licensed under the MIT License. the the", "the gnu", None, "GPL-3.0 Version", "nothing"]
+    files = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    n, counts = licenses._frequency(files, licenses.TEMPLATES)
+    terms = {w for t in licenses.TEMPLATES for w in licenses.words(t.text)}
+    assert n == 5 and counts == {w: c for w in terms if (c := sum(w in licenses.words(t or "") for t in texts))}
+    m = licenses.Matcher(licenses.TEMPLATES, n, counts)
+
+    def vector(text):
+        found = licenses.words(text)
+        return {w: found.count(w) * m.idf.get(w, m.unseen) for w in set(found)}
+
+    for text in ("Licensed under the zork MIT License", "version 3 of gnu the the"):
+        a = vector(text)
+        for t, got in zip(licenses.TEMPLATES[::97], m.cosines(text)[::97], strict=True):
+            b = vector(t.text)
+            dot = sum(v * b.get(w, 0) for w, v in a.items())
+            assert got == pytest.approx(dot / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5, abs=1e-9)
+
+
+def test_texts_without_cues_stay_behind(spark):
+    files = spark.createDataFrame([(i, "p", t) for i, (_, t) in enumerate(NOTICES)], "id long, path string, text string")
+    got = {x["id"]: x["license"] for x in licenses.own(files).collect()}
+    assert got == {i: want for i, (want, _) in enumerate(NOTICES)}
+
+
+def test_licenses_of_odd_rows(spark, monkeypatch):
+    files = odd(spark).select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "text", "k1", "spans")
+    rows = licenses.scan(files).collect()
+    assert len(rows) == 9 and not any(x["license"] for x in rows) and licenses.scan(files.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "a/x", "word " * 200_000 + "\nReleased under the MIT License.\n" + "x" * 500_000), (2, "a/LICENSE", "MIT License"), (3, "a/b/c", "q")], "id long, path string, text string")
+    want = [(1, "MIT", "own"), (2, "MIT", "own"), (3, "MIT", "inherited")]
+    assert sorted(tuple(x) for x in licenses.scan(long).select("id", "license", "decided_by").collect()) == want
+    monkeypatch.setattr(licenses, "BROADCAST_DIRECTORIES", 0)
+    assert sorted(tuple(x) for x in licenses.scan(long).select("id", "license", "decided_by").collect()) == want
 
 
 # --- 7 chat

@@ -677,23 +677,55 @@ def test_contamination(spark):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, v in got.items() if v[1] == 0} and clean.columns[-1] == "k1"
 
 
-def test_contamination_by_shuffles(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+@pytest.mark.parametrize("bound", ["BROADCAST_WINDOWS", "BROADCAST_PLACES"])
+def test_contamination_by_shuffles(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, bound, 0)
     test_contamination(spark)
 
 
+def test_contamination_by_the_commonest_words(spark):
+    """Phrases of few, very frequent words, some twice in a phrase, found wherever they stand and overlap."""
+    r = random.Random(11)
+    texts = [" ".join(r.choices("abc", k=r.randint(0, 60))) for _ in range(40)] + ["a " * 50, "a b " * 30]
+    texts += [texts[3]] * 5
+    items = [(1, "a b a c a b a c a b a"), (2, "a a a a a a a a a a"), (3, "b c"), (4, "c"), (5, "a a b"), (6, "zzz a"), (7, "b a b a b a b a b a b a")]
+    found = decontam.report(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in found.collect()}
+    assert got == brute.contamination(dict(enumerate(texts)), items)
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    d = spark.createDataFrame([(1, "x y z " * 20)] * 60 + [(None, "x y z")] * 3 + [(-(2**63), "x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "y z x y"), (8, "x y z")], "item_id long, text string")
+    built = decontam.PositionalIndex(d, items)
+    assert built.exact().filter("k1 = 1").count() == 19 + 20
+    rows = [tuple(r) for r in decontam.report(d, items).collect()]
+    assert sorted(rows, key=str) == sorted([(1, 60, 60, ["8", "9"])] * 60 + [(None, 3, 3, ["8"])] * 3 + [(-(2**63), 3, 3, ["8"])], key=str)
+
+
 def test_proximity(spark):
-    d = docs(spark, ["b x a", "a q q q q q b", "a"])
-    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    near = decontam.PositionalIndex(d, items, 3).near()
-    assert {r["k1"] for r in near.collect()} == {0}
-    assert {r["k1"] for r in decontam.PositionalIndex(d, items, 3, slop=5).near().collect()} == {0, 1}
+    r = random.Random(2)
+    texts = ["b x a", "a q q q q q b", "a", *(" ".join(r.choices("abcdefgh", k=40)) for _ in range(20))]
+    items = [(1, "a b"), (2, "c d h"), (3, "e e a")]
+    built = decontam.PositionalIndex(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), 3)
+    names = {x["phrase_id"]: x["items"][0] for x in built.phrases.collect()}
+    counts = {c: sum(t.split().count(c) for t in texts) for c in "abcdeh"}
+    for slop in (0, 5):
+        want, reach = set(), 2 + slop
+        for doc, text in enumerate(texts):
+            words = text.split()
+            for item, phrase in items:
+                anchor = min(enumerate(phrase.split()), key=lambda x: (counts[x[1]], x[0]))[1]
+                want |= {(str(item), doc, p) for p, w in enumerate(words) if w == anchor and set(phrase.split()) <= set(words[max(0, p - reach) : p + reach + 1])}
+        assert {(names[x["phrase_id"]], x["k1"], x["position"]) for x in built.near(slop).collect()} == want and len(want) > 5
 
 
 def test_contamination_of_odd_rows(spark):
     items = spark.createDataFrame([(1, "same text"), (2, "word word")], "item_id long, text string")
     rows = decontam.report(odd(spark), items).collect()
     assert len(rows) == 9 and [r["n_hit"] for r in rows if r["doc_id"] == 7] == [30_000]
+    assert decontam.clean(empty(spark), items).count() == 0 and decontam.clean(odd(spark), items.limit(0)).count() == 9
+    assert decontam.clean(odd(spark), items).columns == odd(spark).columns
     assert decontam.report(empty(spark), items).count() == 0 and decontam.report(odd(spark), items.limit(0)).filter("n_hit > 0").count() == 0
 
 

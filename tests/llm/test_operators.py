@@ -251,12 +251,42 @@ def test_repeats(spark, held):
     texts = [passage(r, 10) + shared[i % 3][: r.randint(20, 80)] + passage(r, 6) + (shared[i % 2] if i % 4 == 0 else "") for i in range(40)]
     texts += [texts[3], texts[3], texts[5][:-3], "x" * 90, "é" * 40 + texts[7], None, "", "short", shared[0] * 3]
     length = 24
-    got = sorted(_removed(spark, texts, length, held).items())
+    got = sorted(_removed(spark, texts, length, suffix.spans(docs(spark, texts), length, held=held)).items())
     assert [v for _, v in got] == brute.repeats(texts, length)
 
 
-def _removed(spark, texts, length, held):
-    found = suffix.spans(docs(spark, texts), length, held=held)
+def test_repeats_by_prefix_doubling(spark):
+    r = random.Random(14)
+    shared = [passage(r, 12) for _ in range(3)]
+    texts = [passage(r, 10) + shared[i % 3][: r.randint(20, 80)] + passage(r, 6) for i in range(30)] + ["x" * 90, "é" * 40, "é" * 30, None, "", "short", shared[0] * 2, shared[0] * 2]
+    for length, first in ((24, 8), (30, 4), (8, 8)):
+        assert sorted(_removed(spark, texts, length, suffix.doubling_spans(docs(spark, texts), length, first)).items()) == list(enumerate(brute.repeats(texts, length)))
+    assert suffix.doubling_spans(empty(spark)).count() == 0
+
+
+def test_many_equal_rows_give_their_spans_once(spark):
+    r = random.Random(6)
+    text, other = passage(r, 120), passage(r, 40)
+    rows = [(1, text)] * 1000 + [(2, text[:500] + other), (3, other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix.spans(d)
+    alone = suffix.spans(spark.createDataFrame([(1, text), (1, text), *rows[-2:]], "doc_id long, text string"))
+    sizes = [sorted(x[0] for x in f.select(F.size("spans")).collect()) for f in (found, alone)]
+    assert sizes[0] == sizes[1]
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix.report(d).collect()}
+    assert got == dict(zip((1, 2, 3), [brute.repeats([t for _, t in [rows[0], *rows[-3:]]], 200)[i] for i in (0, 2, 3)], strict=True)) and suffix.report(d).count() == 1002
+
+
+def test_windows_of_one_rank_are_compared_by_bytes():
+    r = np.random.default_rng(5)
+    texts = bytes(r.integers(97, 99, 400).tolist())
+    starts, group = r.integers(0, 390, 300), r.integers(0, 3, 300)  # ranks that clash
+    for length in (8, 5):
+        want = [any(i != j and group[i] == group[j] and texts[starts[i] : starts[i] + length] == texts[starts[j] : starts[j] + length] for j in range(300)) for i in range(300)]
+        assert suffix._alike(texts, starts, group, length).tolist() == want
+
+
+def _removed(spark, texts, length, found):
     out = {}
     for row in suffix._joined(docs(spark, texts), found).collect():
         data, starts, ends = bytes(row["data"]), [], []
@@ -267,6 +297,11 @@ def _removed(spark, texts, length, held):
     return out
 
 
+def test_repeats_joined_by_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BROADCAST_KEYS", 0)
+    test_repeats_at_full_length(spark)
+
+
 def test_repeats_at_full_length(spark):
     r = random.Random(5)
     long = passage(r, 200)

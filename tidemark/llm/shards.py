@@ -26,6 +26,8 @@ ROUNDS = 6
 BINS = 128
 FINE_BINS = 2048
 SLACK = 0.02
+BROADCAST_HUBS = 300_000
+SALT = 16
 _COLUMNS = ("id", "size", "linked", "shard", "least", "degree")
 
 
@@ -137,13 +139,32 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     base = keyed(docs).select("doc_id", "k1", "k2", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("crc"))
     base = materialize(base.withColumn("id", F.xxhash64("k1", "k2")), "sizes")
     nodes = base.groupBy("id").agg(F.sum("size").alias("size"))
-    # A star per text: each document is linked with the one of least id; no pairs within a group.
-    hubs = base.groupBy("k2", "crc", "size").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last")
-    links = base.join(hubs, ["k2", "crc", "size"]).select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct().filter("src != dst")
+    links = equal_texts(base)
     placed = propagate(nodes, links, shards, rounds)
     return slots(base.join(placed.select("id", "shard"), "id")).select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
+def equal_texts(base: DataFrame) -> DataFrame:
+    """src, dst: a star per text, each document linked with the one of least id; no pairs within a group."""
+    same = ["k2", "crc", "size"]
+    hubs = base.groupBy(*same).agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last")
+    hubs = materialize(hubs.select(*same, "hub"), "hubs", shrink=8)
+    # Hubs are one row a text. Few are broadcast, so that copies stay where they are; more are repeated for each salt, so that a hot text's copies are dealt out.
+    if hubs.count() <= BROADCAST_HUBS:
+        met = base.join(F.broadcast(hubs), same)
+    else:
+        met = base.withColumn("salt", _bin(23, SALT, "id")).join(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*same, "salt"])
+    return met.select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct().filter("src != dst")
+
+
+def cut_edges(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """links, cut (links between two shards), cut_by_hash (the same with every document in the shard of its hash, as at the start)."""
+    shards = placed.agg((F.max("shard") + 1).alias("n")).first()["n"] or 1
+    ends = [placed.select(F.col("id").alias(e), F.col("shard").alias(f"{e}_shard")) for e in ("src", "dst")]
+    both = links.join(ends[0], "src").join(ends[1], "dst")
+    return both.agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("src_shard") != F.col("dst_shard")).alias("cut"), F.count_if(_bin(0, shards, "src") != _bin(0, shards, "dst")).alias("cut_by_hash"))
+
+
 def slots(rows: DataFrame) -> DataFrame:
     """rows with slot: gapless from 0 in each shard. Numbers come from bins, so no shard is sorted as one."""
     rows = materialize(rows, "shards", shrink=8)

@@ -609,12 +609,13 @@ def near_texts(r, bases=6, copies=9):
     return out + ["", None, " ", "one", "ONE", "two words", "two  Words", "É a", "é a"]
 
 
-@pytest.mark.parametrize("block", [4000, 5])
-def test_near_duplicates(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "shingles", "members"), [(4000, neardup.BLOCK_SHINGLES, neardup.BROADCAST_MEMBERS), (5, neardup.BLOCK_SHINGLES, 0), (4000, 300, neardup.BROADCAST_MEMBERS)])
+def test_near_duplicates(spark, block, shingles, members, monkeypatch):
     texts = near_texts(random.Random(12))
     r = random.Random(1)
     r.shuffle(texts)
-    monkeypatch.setattr(neardup.links, "__defaults__", (neardup.WIDTH, block, neardup.BLOCK_SHINGLES))
+    monkeypatch.setattr(neardup.links, "__defaults__", (neardup.WIDTH, block, shingles))
+    monkeypatch.setattr(neardup, "BROADCAST_MEMBERS", members)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.groups(docs(spark, texts)).collect()}
     assert got == brute.near_duplicates(dict(enumerate(texts)))
 
@@ -670,9 +671,11 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.groups(empty(spark)).count() == 0 and neardup.keep_one(empty(spark)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [300_000, 0])
+def test_components(spark, bound, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", bound)
     r = random.Random(3)
-    links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(300)]
     got = {x["id"]: x["root"] for x in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     want = brute.components({x for p in links for x in p}, links)
     assert all(want[i] == root for i, root in got.items()) and set(got) == {x for a, b in links if a != b for x in (a, b)}
@@ -787,6 +790,24 @@ def test_shards(spark):
     assert sum(t == 1 for t in together) >= 15
 
 
+def test_fewer_edges_are_cut_than_by_hash(spark):
+    r = random.Random(9)
+    rows = [passage(r, r.randint(5, 30)) for _ in range(400)] + [passage(random.Random(i), 20) for i in range(40) for _ in range(5)]
+    base = winnow.keyed(docs(spark, rows)).select("doc_id", "k1", "k2", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("crc")).withColumn("id", F.xxhash64("k1", "k2"))
+    links = shards.equal_texts(base)
+    placed = shards.propagate(base.groupBy("id").agg(F.sum("size").alias("size")), links, 4)
+    got = shards.cut_edges(links, placed).first()
+    assert got["links"] == 40 * 4 and got["cut"] < got["cut_by_hash"] / 3 and got["cut_by_hash"] > 90
+
+
+def test_links_of_equal_texts_by_shuffles(spark, monkeypatch):
+    base = winnow.keyed(docs(spark, ["x"] * 30 + ["y", "z", "z", None])).select("doc_id", "k1", "k2", F.length("text").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("crc")).withColumn("id", F.col("k1"))
+    want = sorted([(i, 0) for i in range(1, 30)] + [(32, 31)])
+    assert sorted(tuple(x) for x in shards.equal_texts(base).collect()) == want
+    monkeypatch.setattr(shards, "BROADCAST_HUBS", 0)
+    assert sorted(tuple(x) for x in shards.equal_texts(base).collect()) == want
+
+
 def test_one_hot_group_is_split(spark):
     rows = shards.assign(docs(spark, ["the same text"] * 300 + [passage(random.Random(i), 5) for i in range(60)]), 4).collect()
     loads = {}

@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
+
+#: Up to so many edges, least neighbours are broadcast, after a count; beyond, joins are salted, so that a hub's edges are dealt out.
+BROADCAST_EDGES = 300_000
+SALT = 16
+
+
+def _with_least(edges: DataFrame, end: str, least: DataFrame, few: bool) -> DataFrame:
+    """edges joined with least (n, m; one row a node) on edges.end = n."""
+    if few:
+        return edges.join(F.broadcast(least), edges[end] == least["n"])
+    salted = edges.withColumn("_s", F.pmod(F.xxhash64("a", "b"), F.lit(SALT)).cast("int"))
+    each = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(each, (salted[end] == each["n"]) & (salted["_s"] == each["_s"])).drop("_s")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,15 +31,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges", shrink=8)
     seen = _state(now)
     while True:
+        few = seen[0] <= BROADCAST_EDGES
         # Larger neighbours (a) of each node (b), to the least of the node and all its neighbours.
         both = now.select(F.col("b").alias("n"), F.col("a").alias("m")).union(now.select(F.col("a").alias("n"), F.col("b").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = now.join(least, now["b"] == least["n"]).select("a", F.col("m").alias("b"))
+        large = _with_least(now, "b", least, few).select("a", F.col("m").alias("b"))
         large = large.union(least.filter("n != m").select(F.col("n").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
         # Smaller neighbours (b) of each node (a), to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.withColumnRenamed("a", "n"), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), "edges", shrink=8)
+        small = _with_least(large, "a", low.withColumnRenamed("a", "n"), few).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before, now = now, materialize(small.union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), "edges", shrink=8)
+        drop(before)
         state = _state(now)
         if state == seen:
             break

@@ -77,10 +77,43 @@ def test_cox_equals_brute_force(spark):
     t = np.ceil(50 * r.exponential(size=400) / np.exp(0.7 * x)).astype(int)
     event, t = t <= 100, np.minimum(t, 100)
     rows = [(int(a), int(e), 0, float(b)) for a, e, b in zip(t, event, x)]
-    ready, names = survival.design(spark.createDataFrame(rows, "duration_days int, event int, entry_days int, x1 double"), ["x1"], [])
-    fit = survival.cox(ready.cache(), names, 0.0)
-    assert fit.coefficients[0] == pytest.approx(newton((x - x.mean()) / x.std(ddof=1), t, event), abs=1e-6) and fit.concordance > 0.6
-    assert survival.proportionality(ready, fit)[0]["p_value"] > 0.001
+    made = survival.design(spark.createDataFrame(rows, "duration_days int, event int, entry_days int, x1 double"), ["x1"], [])
+    fit = survival.cox(made, 0.0)
+    assert fit.coefficients[0] == pytest.approx(newton(x, t, event), abs=1e-6) and fit.concordance > 0.6
+    assert fit.coefficients[0] == pytest.approx(0.7, abs=3 * fit.errors[0]) and 0.02 < fit.errors[0] < 0.1
+    assert survival.proportionality(made, fit)[0]["p_value"] > 0.001
+
+
+def plain_gradient(x, t, event, entry, beta, penalty):
+    """The score of the penalised partial likelihood with Efron's ties, several covariates, delayed entry."""
+    w, out = np.exp(x @ beta), -penalty * len(t) * beta
+    for u in np.unique(t[event]):
+        at, dead = (t >= u) & (entry < u), (t == u) & event
+        for k in range(dead.sum()):
+            part = w[at].sum() - k / dead.sum() * w[dead].sum()
+            out = out - ((w[:, None] * x)[at].sum(0) - k / dead.sum() * (w[:, None] * x)[dead].sum(0)) / part
+        out = out + x[dead].sum(0)
+    return out
+
+
+def test_cox_solves_the_score_equations(spark):
+    """At the fitted coefficients the gradient is 0: numbers and levels, many ties, delayed entry, a ridge."""
+    r = np.random.default_rng(8)
+    n = 500
+    number, kind = 40 + 12 * r.normal(size=n), r.integers(0, 3, n)
+    t = np.ceil(30 * r.exponential(size=n) / np.exp(0.03 * (number - 40) + 0.4 * (kind == 1))).astype(int)
+    entry = r.integers(0, 4, n)
+    event, t = t <= 40, np.maximum(np.minimum(t, 40), entry + 1)
+    rows = [(int(a), int(e), int(s), float(x), f"k{k}") for a, e, s, x, k in zip(t, event, entry, number, kind, strict=True)]
+    made = survival.design(spark.createDataFrame(rows, "duration_days int, event int, entry_days int, age double, kind string"), ["age"], ["kind"])
+    for penalty in (0.0, 0.1):
+        fit = survival.cox(made, penalty)
+        plain = np.column_stack([number, kind == 1, kind == 2]).astype(float)
+        assert fit.names == ["age", "kind=k1", "kind=k2"]
+        x = (plain - plain.mean(0)) / plain.std(0, ddof=1)
+        assert np.abs(plain_gradient(x, t, event, entry, fit.beta, penalty)).max() < 1e-4
+        assert np.allclose(fit.coefficients * plain.std(0, ddof=1), fit.beta)
+    assert np.allclose(survival._tied(7, 5.0, 2.0, 3), survival._tied(7, 5.0, 2.0))
 
 
 def test_tails():
@@ -140,6 +173,84 @@ def test_doubly_robust(spark):
     assert abs(causal.estimate(causal.stratified(fake, ["s"]).filter("e > 0 and e < 1"), 0.02)["ate"]) < 0.02 + 0.01
 
 
+OPTIONS = {"max_iter": 10, "learning_rate": 0.2, "max_leaf_nodes": 7, "class_weight": "balanced"}
+
+
+def confounded(spark, rare):
+    """A treatment that raises risk by 0.06, and a confounder that raises both; `rare`: 15 % are treated, 12 % have the event."""
+    r, n = np.random.default_rng(11), 8000 if rare else 6000
+    c, noise = r.normal(size=n), r.normal(0, 0.5, n)
+    t = (r.random(n) < 1 / (1 + np.exp(-(0.9 * c - 2.0 * rare)))).astype(int)
+    risk = np.clip(0.11 + 0.06 * c, 0.01, 0.9) if rare else np.clip(0.20 + 0.10 * c, 0.02, 0.9)
+    y = (r.random(n) < np.clip(risk + 0.06 * t, 0.01, 0.99)).astype(int)
+    rows = [(i, D(2023, 1, 1), int(a), int(b), float(x), float(z)) for i, (a, b, x, z) in enumerate(zip(y, t, c, noise, strict=True))]
+    return spark.createDataFrame(rows, "entity_id long, snapshot_date date, label int, treated int, g__c double, g__noise double").cache()
+
+
+PLAIN = {n: Meta(n, "g", "entity", "numeric", "static", None, "normal", "", True) for n in ("g__c", "g__noise")}
+
+
+@pytest.mark.parametrize("rare", [False, True])
+def test_nuisances_recover_a_known_effect(spark, rare):
+    df = confounded(spark, rare)
+    fitted = causal.nuisances(df, PLAIN, OPTIONS, 4, 42).cache()
+    found = causal.estimate(fitted, 0.02)
+    means = fitted.agg(F.avg("e"), F.avg("treated"), F.avg("label")).first()
+    assert found["valid"] and found["ate"] == pytest.approx(0.06, abs=0.025) and found["ci"][0] < 0.06 < found["ci"][1]
+    assert abs(causal.naive_difference(df).first()[0] - 0.06) > abs(found["ate"] - 0.06)
+    assert means[0] == pytest.approx(means[1], abs=0.04)  # chances, not of balanced classes
+    assert fitted.agg(F.avg("m0")).first()[0] < means[2] + 0.05
+
+
+def test_a_placebo_has_no_effect(spark):
+    fake = drivers.shuffled(confounded(spark, False), "treated", 7)
+    assert abs(causal.estimate(causal.nuisances(fake, PLAIN, OPTIONS, 4, 42), 0.02)["ate"]) < 0.02
+
+
+def test_a_mirror_of_the_treatment_is_named(spark):
+    df = confounded(spark, False).limit(1500).withColumn("g__mirror", F.col("treated") + 0.001 * F.col("g__noise"))
+    assert causal.culprit(df, ["g__c", "g__mirror", "g__noise"])[0] == "g__mirror" and causal.culprit(df, []) is None
+    meta = PLAIN | {n: Meta(n, "g", "entity", "numeric", "static", None, "normal", "", True) for n in ("g__mirror", "t__x")}
+    features = Features(df.withColumn("t__x", F.col("treated").cast("double")).drop("treated"), meta)
+    out = causal.run(features, {"feature": "t__x"}, {"confounders": {"mode": "explicit", "explicit": ["g__c", "g__mirror"]}, "estimator": {"cross_fit_folds": 2}}, OPTIONS | {"max_iter": 25, "learning_rate": 0.6})
+    assert out.verdict in ("not estimable", "weak overlap") and any("g__mirror" in n for n in out.notes)
+
+
+def test_class_weights_are_honoured(spark):
+    df = spark.createDataFrame([(f"e{i}", D(2023, 1, 1), int(i % 10 == 0), float(i // 10 % 5), f"k{i // 50 % 4}") for i in range(1500)], "entity_id string, snapshot_date date, label int, x double, k string")
+    for how in ("balanced", None):
+        weights = {r["label"]: r["w"] for r in modeling.weighted(df, how).groupBy("label").agg(F.first("weight").alias("w")).collect()}
+        assert weights == ({0: pytest.approx(1500 / 2700), 1: pytest.approx(5.0)} if how else {0: 1.0, 1: 1.0})
+    meta = {"x": PLAIN["g__c"], "k": Meta("k", "g", "entity", "categorical", "static", None, "normal", "", True)}
+    means = []
+    for how in ("balanced", None):
+        o = OPTIONS | {"class_weight": how, "max_iter": 3}
+        tree = modeling.score_tree(modeling.fit_tree(df, meta, o, 1), df, meta).agg(F.avg("score")).first()[0]
+        line = modeling.score_linear(modeling.fit_linear(df, meta, o)[0], df, meta).agg(F.avg("baseline")).first()[0]
+        means.append((tree, line))
+    assert means[0][0] > means[1][0] + 0.2 and means[0][1] > 0.35 and means[1][1] == pytest.approx(0.1, abs=0.03)
+
+
+def test_levels_are_bounded(spark):
+    rows = [(f"e{i}", D(2023, 1, 1), i % 2, f"id{i}", "a" if i % 3 else None) for i in range(900)] + [("x", D(2023, 1, 1), 1, "id0", "rare")]
+    df = spark.createDataFrame(rows, "entity_id string, snapshot_date date, label int, name string, kind string")
+    assert modeling.common_levels(df, ["name", "kind"], 1, 5)["kind"] == ["a", "__missing__", "rare"] and len(modeling.common_levels(df, ["name"], 1, 5)["name"]) == 5
+    assert modeling.common_levels(df, ["name", "kind"], 20, 9) == {"name": [], "kind": ["a", "__missing__"]} and modeling.common_levels(df, [], 1, 5) == {}
+    meta = {n: Meta(n, "g", "entity", "categorical", "static", None, "normal", "", True) for n in ("name", "kind")}
+    o = OPTIONS | {"max_iter": 2}
+    assert modeling.score_tree(modeling.fit_tree(df, meta, o, 1), df, meta).count() == 901
+    assert modeling.score_linear(modeling.fit_linear(df, meta, o)[0], df, meta).count() == 901
+
+
+def test_folds_are_even_in_treatment_and_outcome(spark):
+    df = spark.createDataFrame([(i, D(2023, 1, 1), int(i % 10 == 0), int(i % 4 == 0)) for i in range(400)], "entity_id long, snapshot_date date, label int, treated int")
+    rows = modeling.folds_of(df, 4, 42, ("treated", "label")).groupBy("fold", "treated", "label").count().collect()
+    for t, y in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        sizes = [r["count"] for r in rows if (r["treated"], r["label"]) == (t, y)]
+        assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+    assert causal.fold_count(df, 5) == 5 and causal.fold_count(df.filter("label = 0 or entity_id < 25"), 5) == 3
+
+
 def _meta(name, group="g", source="log", depends=(), window=90):
     return Meta(name, group, source, "numeric", "time_varying", window, "normal", "", True, depends)
 

@@ -165,7 +165,7 @@ select count(*) as n, round(avg(psi), 6) as ate, round(stddev_samp(psi) / sqrt(c
 
 _NUM, _CAT = ["recency", "orders", "balance"], ["segment"]
 _META = {n: Meta(n, "g", "entity", "numeric" if n in _NUM else "categorical", "static", None, "normal", "", True) for n in (*_NUM, *_CAT)}
-_OPTIONS = {"max_iter": 5, "learning_rate": 0.1, "max_leaf_nodes": 7, "calibrate": True}
+_OPTIONS = {"class_weight": "balanced", "max_iter": 5, "learning_rate": 0.1, "max_leaf_nodes": 7, "calibrate": True}
 
 
 def _sides(spark, sf):
@@ -180,7 +180,7 @@ def model_gbt_scores(spark, sf):
 
 def model_logistic(spark, sf):
     train, test = _sides(spark, sf)
-    model, _ = modeling.fit_linear(train, _META)
+    model, _ = modeling.fit_linear(train, _META, _OPTIONS)
     return modeling.score_linear(model, test, _META).select("entity_id", "snapshot_date", "label", "baseline")
 
 
@@ -196,16 +196,20 @@ def permutation_importance(spark, sf):
     return spark.createDataFrame(sorted(found.items()), "feature string, importance double")
 
 
+def _cox_design(spark, sf):
+    made = survival.design(base.lifetimes(spark, sf), ["balance"], ["segment"])
+    made.frame = made.frame.cache()
+    return made
+
+
 def cox_ph(spark, sf):
-    rows, names = survival.design(base.lifetimes(spark, sf), ["balance"], ["segment"])
-    fit = survival.cox(rows.cache(), names)
+    fit = survival.cox(_cox_design(spark, sf))
     return spark.createDataFrame([(r["covariate"], r["coef"], r["se"], r["p_value"]) for r in fit.table()], "covariate string, coef double, se double, p_value double")
 
 
 def cox_proportionality(spark, sf):
-    rows, names = survival.design(base.lifetimes(spark, sf), ["balance"], ["segment"])
-    rows = rows.cache()
-    found = survival.proportionality(rows, survival.cox(rows, names))
+    made = _cox_design(spark, sf)
+    found = survival.proportionality(made, survival.cox(made))
     return spark.createDataFrame([(r["covariate"], r["statistic"], r["proportional"]) for r in found], "covariate string, statistic double, proportional boolean")
 
 

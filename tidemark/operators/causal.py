@@ -114,26 +114,49 @@ def estimate(frame: DataFrame, clip: float = 0.02, treated: str = "treated", lab
     return {"n": r["n"], "ate": r["ate"], "se": se, "ci": ci, "p_value": normal_two_sided(r["ate"] / se) if se > 0 else 1.0, "overlap": r["n"] / total, "valid": True}
 
 
+def fold_count(frame: DataFrame, folds: int) -> int:
+    """No more folds than the rarer side of treatment or outcome has rows, and at least two."""
+    kinds = frame.agg(*[F.count_if(F.col(c) == v).alias(f"{c}{v}") for c in ("treated", "label") for v in (0, 1)]).first()
+    return max(2, min(folds, *kinds))
+
+
 def nuisances(frame: DataFrame, meta: dict[str, Meta], options: dict, folds: int, seed: int, clip: float = 0.02) -> DataFrame:
-    """frame with e, m1, m0 for each row, from models fitted without its entity's fold."""
-    dealt = modeling.folds_of(frame, folds, seed).cache()
+    """frame with e, m1, m0 for each row: chances, so classes are not weighed, from models fitted without its entity's fold.
+
+    Folds are even in treatment and outcome.
+    """
+    folds = fold_count(frame, folds)
+    plain = options | {"class_weight": None}
+    dealt = modeling.folds_of(frame, folds, seed, ("treated", "label")).cache()
     parts = []
     for k in range(folds):
         rest, part = dealt.filter(F.col("fold") != k), dealt.filter(F.col("fold") == k)
-        own = modeling.fit_tree(rest.withColumn("label", F.col("treated")), meta, options | {"weights": "none"}, seed)
-        part = modeling.score_tree(own, part, meta, "e")
+        part = _chances(rest.withColumn("label", F.col("treated")), part, meta, plain, seed, "e")
         for arm in (1, 0):
-            side = rest.filter(F.col("treated") == arm)
-            mean = side.agg(F.avg("label").alias("m"), F.count_distinct("label").alias("k")).first()
-            if (mean["k"] or 0) < 2:
-                part = part.withColumn(f"m{arm}", F.lit(float(mean["m"] or 0.0)))
-            else:
-                part = modeling.score_tree(modeling.fit_tree(side, meta, options | {"weights": "none"}, seed), part, meta, f"m{arm}")
+            part = _chances(rest.filter(F.col("treated") == arm), part, meta, plain, seed, f"m{arm}")
         parts.append(part)
     out = functools.reduce(DataFrame.unionByName, parts)
     return out.withColumn("e", F.least(F.greatest("e", F.lit(clip)), F.lit(1 - clip)))
 
 
+def _chances(train: DataFrame, frame: DataFrame, meta: dict[str, Meta], options: dict, seed: int, name: str) -> DataFrame:
+    """frame with the chance of label 1 by a model of train; its mean where train has one label only."""
+    known = train.agg(F.avg("label").alias("mean"), F.min("label").alias("low"), F.max("label").alias("high")).first()
+    if known["low"] == known["high"]:
+        return frame.withColumn(name, F.lit(float(known["mean"] or 0.0)))
+    return modeling.score_tree(modeling.fit_tree(train, meta, options, seed), frame, meta, name)
+
+
+def culprit(frame: DataFrame, numeric: list[str], least: int = LEAST_SUPPORT) -> tuple[str, float] | None:
+    """The number that alone tells the treated best, and its area under the curve in the better direction."""
+    if not numeric:
+        return None
+    areas = metrics.auc(metrics.long(frame, numeric, ["treated"]), "value", "treated", ["feature"])
+    found = areas.filter((F.col("n_pos") + F.col("n_neg") >= least) & F.col("area").isNotNull()).select("feature", F.greatest("area", 1 - F.col("area")).alias("area"))
+    best = found.orderBy(F.col("area").desc(), "feature").first()
+    return (best["feature"], best["area"]) if best else None
+
+
 def verdict(effect: Effect, least: float) -> str:
     if not effect.valid:
         return "not estimable"
@@ -178,9 +201,14 @@ def run(features: Features, treatment: dict, options: dict, model_options: dict,
     if numeric:
         weighted = fitted.withColumn("_ipw", F.col("treated") / F.col("e") + (1 - F.col("treated")) / (1 - F.col("e")))
         out.max_smd = weighted.transform(lambda d: metrics.smd(d, numeric, "treated", "_ipw")).agg(F.max("smd").alias("s")).first()["s"]
+    least = float(estimator.get("min_overlap_share", 0.9))
+    if (out.overlap or 0) < least:
+        out.notes.append(f"only {out.overlap or 0:.1%} of rows have a counterpart in the other arm")
     e_auc = metrics.auc(fitted, "e", "treated").first()
     if e_auc and (e_auc["area"] or 0) >= 0.95:
-        out.notes.append("treatment is nearly determined by the confounders; a mirror of it may be among them")
+        best = culprit(fitted, [n for n, m in meta.items() if m.kind == "numeric"])
+        named = f", {best[0]} most of all (alone: {best[1]:.3f})" if best else ""
+        out.notes.append(f"treatment is nearly determined by the confounders (area {e_auc['area']:.3f}){named}; a mirror of it may be among them")
         out.valid = out.valid and (out.overlap or 0) >= 0.5
     if out.valid and refute.get("placebo_treatment", True):
         fake = nuisances(drivers.shuffled(frame, "treated", seed + 1), meta, model_options, folds, seed, clip)
@@ -195,7 +223,7 @@ def run(features: Features, treatment: dict, options: dict, model_options: dict,
         out.refutations.append({"check": "random_subset", "estimate": again.get("ate"), "passed": passed})
     fitted.unpersist()
     frame.unpersist()
-    out.verdict = verdict(out, float(estimator.get("min_overlap_share", 0.9)))
+    out.verdict = verdict(out, least)
     return out
 
 

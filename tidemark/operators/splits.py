@@ -37,18 +37,21 @@ def out_of_time(frame: DataFrame, dates: list[dt.date], fraction: float, horizon
     return Split(frame.withColumn("split", side(cutoff, horizon, purge)), cutoff, "out_of_time", [])
 
 
-def entity_folds(frame: DataFrame, folds: int, seed: int = 42, key: Column | None = None) -> DataFrame:
-    """entity_id, fold: entities that ever had the event, and the others, each dealt evenly over the folds.
+def entity_folds(frame: DataFrame, folds: int, seed: int = 42, key: Column | None = None, strata: tuple[str, ...] = ("label",)) -> DataFrame:
+    """entity_id, fold: entities dealt evenly over the folds within each kind, a kind being which of the strata (0 or 1) an entity ever had.
 
     Dealt by rank of a hash within the kind. Ranks come from counts of hash buckets and a rank inside
     each bucket, so no task sorts all entities.
     """
-    people = frame.groupBy(ID).agg(F.max("label").alias("ever"))
+    people = frame.groupBy(ID).agg(F.struct(*[F.max(c).alias(f"s{i}") for i, c in enumerate(strata)]).alias("ever"))
     order = key if key is not None else F.xxhash64(ID, F.lit(seed))
-    people = people.withColumn("_o", order).withColumn("_b", F.shiftright(F.xxhash64("_o"), 54).cast("int") if key is None else F.lit(0))
+    bucket = F.shiftright(F.xxhash64("_o"), 54).cast("int") if key is None else F.lit(0)
+    people = people.withColumn("_o", order).withColumn("_b", bucket)
     sizes = people.groupBy("ever", "_b").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("ever").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    ranked = people.withColumn("_n", F.row_number().over(Window.partitionBy("ever", "_b").orderBy("_o", ID)) - 1).join(F.broadcast(before), ["ever", "_b"])  # at most 2 x 1024 rows
+    earlier = Window.partitionBy("ever").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0))).drop("c")
+    number = F.row_number().over(Window.partitionBy("ever", "_b").orderBy("_o", ID)) - 1
+    ranked = people.withColumn("_n", number).join(F.broadcast(before), ["ever", "_b"])  # at most kinds x 1024 rows
     return ranked.select(ID, ((F.col("_n") + F.col("before")) % folds).cast("int").alias("fold"))
 
 

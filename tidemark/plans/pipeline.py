@@ -120,9 +120,10 @@ def _survival(out: Run, spec: Spec, entity: DataFrame, when: time.Timeline) -> N
     for s in strata:
         out.strata[s] = survival.stratified(frame, s, int(o["max_strata"]))
     if o["cox"] and static:
-        ready, names = survival.design(frame, [c.name for c in static if c.type == "numeric"], [c.name for c in static if c.type == "categorical"])
-        if names:
-            out.cox = survival.cox(ready.cache(), names, 0.1)
+        ready = survival.design(frame, [c.name for c in static if c.type == "numeric"], [c.name for c in static if c.type == "categorical"])
+        if ready.names:
+            ready.frame = ready.frame.cache()
+            out.cox = survival.cox(ready, 0.1)
             bad = [r["covariate"] for r in survival.proportionality(ready, out.cox) if not r["proportional"]]
             if bad:
                 out.notes.append(f"hazards are not proportional in {bad}")

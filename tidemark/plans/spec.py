@@ -305,6 +305,7 @@ def validated(spec: Spec) -> Spec:
     _one_of(split["strategy"], ("out_of_time", "grouped_random"), "pipeline.yaml: split.strategy")
     _one_of(spec.options["drivers"]["method"], ("auto", "shap", "permutation"), "pipeline.yaml: drivers.method")
     _one_of(spec.options["model"]["primary"], ("hist_gradient_boosting", "gradient_boosting"), "pipeline.yaml: model.primary")
+    _one_of(spec.options["model"]["class_weight"] or None, ("balanced", None), "pipeline.yaml: model.class_weight")
     for source in (spec.entity_format, *(x.format for x in spec.logs.values())):
         _one_of(source, ("auto", "csv", "parquet"), "data.yaml: format")
     if not 0 < float(split["test_fraction"]) < 1:

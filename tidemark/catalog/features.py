@@ -21,8 +21,12 @@ def _entry(name: str, query: Query, sql: str | None = None) -> None:
         ORACLE[name] = sql
 
 
-def _rounded(df, digits: int = 4):
-    return df.select(*[F.round(F.col(n), digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+#: Added before rounding, here and in SQL: means of cents often lie just between two roundings, and which side they fall on would hang on the order of the sum.
+_NUDGE = 1e-7
+
+
+def _rounded(df, digits: int = 4, nudge: float = 0.0):
+    return df.select(*[F.round(F.col(n) + nudge, digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
 def _built(spark, sf, group: Group, tie: str = "o_orderkey"):
@@ -55,7 +59,7 @@ def _window_sql(group: Group, conditions: dict[str, str]) -> str:
             g = f"o.d is not null and o.d >= p.feature_end - {w} and ({condition})"
 
             def put(column, suffix, text, name=name, w=w):
-                columns.append(f"round({text}, 4) as {features.named(group.name, name, column, f'{suffix}_{w}d')}")
+                columns.append(f"round({text} + {_NUDGE}, 4) as {features.named(group.name, name, column, f'{suffix}_{w}d')}")
 
             put(None, "event_count", f"cast(nullif(count(*) filter ({g}), 0) as double)")
             put(None, "recency_days", f"cast(date_diff('day', max(o.d) filter ({g}), any_value(p.feature_end)) as double)")
@@ -77,7 +81,7 @@ from panel p left join ord o on o.o_custkey = p.entity_id and o.d < p.feature_en
 
 
 def _window(name: str, group: Group, conditions: dict[str, str] | None = None) -> None:
-    _entry(name, lambda spark, sf: _rounded(_built(spark, sf, group)[0]), _window_sql(group, conditions or {}))
+    _entry(name, lambda spark, sf: _rounded(_built(spark, sf, group)[0], nudge=_NUDGE), _window_sql(group, conditions or {}))
 
 
 def _group(columns=(), windows=(365,), **more) -> Group:
@@ -109,7 +113,7 @@ _flagship = _group([Column(_price, aggs=("sum", "mean", "median", "std", "last",
 def panel_features(spark, sf):
     """The flagship: features of all orders and of finished ones, with the label of each customer and date."""
     out, meta = features.from_events(base.frame(spark, sf), base.orders(spark, sf), _flagship, "o_orderdate", "id", base.DATES, base.EMBARGO, [], "o_orderkey")
-    return _rounded(out.select("entity_id", "snapshot_date", F.col("label").cast("long").alias("label"), *meta))
+    return _rounded(out.select("entity_id", "snapshot_date", F.col("label").cast("long").alias("label"), *meta), nudge=_NUDGE)
 
 
 _entry("panel_features", panel_features, _window_sql(_flagship, _sql).replace("select p.entity_id, p.snapshot_date, ", "select p.entity_id, p.snapshot_date, cast(any_value(p.label) as bigint) as label, "))
@@ -229,7 +233,19 @@ def lineage_closure(spark, sf):
     return spark.createDataFrame([(n,) for n in sorted(made.dependents({"orders__finished__event_count_365d"}))], "feature string")
 
 
-_entry("feature_dictionary", feature_dictionary)
+_entry(
+    "feature_dictionary",
+    feature_dictionary,
+    """select 'orders' as "group", 'orders__' || fam || col || agg || '_365d' as feature, 'orders' as source, 'numeric' as kind, 'time_varying' as temporal, 365 as window_days,
+  'normal' as leakage_review, about || ' of events' || cond || ' in [T - embargo - 365d, T - embargo)' as derivation, true as point_in_time, true as in_model, '' as depends_on
+from (values ('', ''), ('finished__', ' where finished')) f(fam, cond),
+  (values ('', 'event_count', 'number'), ('', 'recency_days', 'days since the last'), ('o_totalprice__', 'sum', 'sum of o_totalprice'), ('o_totalprice__', 'mean', 'mean of o_totalprice')) a(col, agg, about)
+union all select 'who', 'who__' || name, 'entity', kind, 'static', null, 'normal', about, true, true, ''
+from (values ('segment', 'categorical', 'value in force'), ('balance', 'numeric', 'value in force'), ('end_date__days_before_T', 'numeric', 'days from the value to T - embargo')) w(name, kind, about)
+union all select split_part(name, '__', 1), name, 'derived', 'numeric', 'derived', 365, 'normal', formula, true, true, heirs
+from (values ('ratios__share', 'orders__finished__event_count_365d / orders__event_count_365d', 'orders__finished__event_count_365d, orders__event_count_365d'),
+  ('more__twice', 'ratios__share * 2', 'ratios__share')) d(name, formula, heirs)""",
+)
 _entry("lineage_closure", lineage_closure, "select unnest(['more__twice', 'ratios__share']) as feature")
 
 
@@ -297,7 +313,7 @@ _entry("column_audit", column_audit, """select * from (values ('who', 'colour'),
 def window_order_free(spark, sf):
     """The order of configured windows and aggregates does not matter, and doubles are dropped."""
     g = _group([Column(_price, aggs=("sum",))], (365, 90))
-    return _rounded(_built(spark, sf, g)[0])
+    return _rounded(_built(spark, sf, g)[0], nudge=_NUDGE)
 
 
 _entry("window_order_free", window_order_free, _window_sql(_group([Column(_price, aggs=("sum",))], (90, 365)), {}))

@@ -26,12 +26,18 @@ def _curve(df, *by):
     return df.select(*by, F.col("t").cast("long").alias("t"), F.col("events").cast("long").alias("events"), F.col("n_at_risk").cast("long").alias("n_at_risk"), *[F.round(c, 6).alias(c) for c in ("survival", "se", "ci_low", "ci_high")])
 
 
-def _km(source: str, by: str = "") -> str:
+def _km_rows(source: str, by: str = "") -> str:
+    """Table expressions up to km: t, events, n, s (survival), v (Greenwood's sum)."""
     part, on = (f"partition by {by} ", f"{by}, ") if by else ("", "")
     match = f"and i.{by} = d.{by}" if by else ""
     return f"""risk as (select {'d.' + by + ', ' if by else ''}d.t, any_value(d.events) as events, count(*) as n from (select {on}duration_days as t, sum(event) as events from {source} group by all having sum(event) > 0) d
   join {source} i on i.duration_days >= d.t and i.entry_days < d.t {match} group by all),
-km as (select {on}t, events, n, exp(sum(case when n > events then ln(1 - events / n) else -1e300 end) over w) as s, sum(events / (n * greatest(n - events, 1))) over w as v from risk window w as ({part}order by t rows unbounded preceding))
+km as (select {on}t, events, n, exp(sum(case when n > events then ln(1 - events / n) else -1e300 end) over w) as s, sum(events / (n * greatest(n - events, 1))) over w as v from risk window w as ({part}order by t rows unbounded preceding))"""
+
+
+def _km(source: str, by: str = "") -> str:
+    on = f"{by}, " if by else ""
+    return f"""{_km_rows(source, by)}
 select {on}cast(t as bigint) as t, cast(events as bigint) as events, n as n_at_risk, round(s, 6) as survival, round(s * sqrt(v), 6) as se, round(greatest(0, s - 1.96 * s * sqrt(v)), 6) as ci_low, round(least(1, s + 1.96 * s * sqrt(v)), 6) as ci_high from km"""
 
 
@@ -47,9 +53,11 @@ def km_left_truncated(spark, sf):
 
 _entry("km_left_truncated", km_left_truncated, f"{_LATE}, {_km('alive')}")
 _entry("km_strata", lambda spark, sf: _curve(survival.stratified(base.lifetimes(spark, sf), "segment"), "segment"), f"{LIFE}, {_km('alive', 'segment')}")
-_entry("km_median", lambda spark, sf: survival.median_lifetime(survival.kaplan_meier(base.lifetimes(spark, sf).filter("duration_days < 1900 or event = 0").withColumn("event", F.lit(1)))).select(F.col("median_days").cast("long").alias("median_days")),
-    f"""{LIFE}, a as (select duration_days as t, count(*) as d from alive where duration_days < 1900 or event = 0 group by 1), b as (select t, 1 - sum(d) over (order by t rows unbounded preceding) / sum(d) over () as s from a)
-select cast(min(t) as bigint) as median_days from b where s <= 0.5 + 1e-12""")
+_entry(
+    "km_median",
+    lambda spark, sf: survival.median_lifetime(survival.kaplan_meier(base.lifetimes(spark, sf))).select(F.col("median_days").cast("long").alias("median_days")),
+    f"{LIFE}, {_km_rows('alive')} select cast(min(t) filter (s <= 0.5) as bigint) as median_days from km",
+)
 _entry("large_strata", lambda spark, sf: survival.large_strata(base.lifetimes(spark, sf), "nation", 30, 8).select("nation", "n"), f"{LIFE} select nation, count(*) as n from alive group by 1 having count(*) >= 30 order by n desc, nation limit 8")
 
 

@@ -1,8 +1,8 @@
 """Point-in-time features: event windows, entity attributes, versions in force, derived expressions.
 
-Every event is sent to the dates whose look-back window it falls in, by an array of dates in the
-plan; then one grouped pass per event log computes every filter, window and aggregate as a guarded
-expression. Features are keyed by entity and date, never by position.
+Events are combined by entity and day. Each day is sent to the dates whose look-back window it falls
+in, by an array of dates in the plan; then one grouped pass per event log computes every filter,
+window and aggregate as a guarded expression. Features are keyed by entity and date, never by position.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def named(*parts: str | None) -> str:
 
 
 def onto_dates(events: DataFrame, dates: list[dt.date], date: str, longest: int, embargo: int) -> DataFrame:
-    """Each event once per date T with T - embargo - longest <= event < T - embargo; feature_end is T - embargo."""
+    """Each event, or day of events, once per date T with T - embargo - longest <= event < T - embargo; feature_end is T - embargo."""
     fits = F.filter(dates_array(dates), lambda t: (F.col(date) < F.date_sub(t, embargo)) & (F.col(date) >= F.date_sub(t, embargo + longest)))
     return events.withColumn(AT, F.explode(fits)).withColumn(END, F.date_sub(AT, embargo))
 
@@ -117,58 +117,86 @@ def families(group: Group, events: DataFrame) -> list[tuple[str, Column]]:
     return plain + [(f.name, predicate(f.where, events.columns, f"feature.yaml: filter {group.name}.{f.name}")) for f in group.filters]
 
 
-def window_aggregates(group: Group, events: DataFrame, date: str, skipped: list[dict], order: Column | None = None) -> dict[str, tuple[Column, Meta]]:
-    """Every feature of a group on one event log, as an aggregate over events sent to dates."""
+@dataclass
+class Windows:
+    """A group's features on one event log: aggregates of an entity's day, of windows over days, and of windows over events."""
+
+    days: aggregates.Days = field(default_factory=aggregates.Days)
+    by_day: dict[str, Column] = field(default_factory=dict)
+    by_event: dict[str, Column] = field(default_factory=dict)
+    meta: dict[str, Meta] = field(default_factory=dict)
+
+
+def window_aggregates(group: Group, events: DataFrame, date: str, skipped: list[dict], tie: Column) -> Windows:
+    """Every feature of a group on one event log; tie orders the events of a day."""
     numeric, dated = _numbers(group, events, skipped)
-    order = order if order is not None else F.col(date)
-    out: dict[str, tuple[Column, Meta]] = {}
+    out = Windows()
     for family, condition in families(group, events):
+        every = aggregates.Events(out.days, family, condition, tie)
         for w in group.windows:
-            guard = condition & (F.col(date) >= F.date_sub(END, w))
+            on_day = F.col(aggregates.DAY) >= F.date_sub(END, w)
+            on_event = condition & (F.col(date) >= F.date_sub(END, w))
             about = f"events{f' where {family}' if family else ''} in [T - embargo - {w}d, T - embargo)"
 
-            def add(column: str | None, suffix: str, value: Column, text: str, family: str = family, w: int = w, about: str = about) -> None:
+            def add(column: str | None, suffix: str, value: Column, text: str, raw: bool = False, family: str = family, w: int = w, about: str = about) -> None:
                 name = named(group.name, family, column, f"{suffix}_{w}d")
-                out[name] = (value, Meta(name, group.name, group.source, "numeric", group.temporal, w, group.review, f"{text} of {about}", True))
+                (out.by_event if raw else out.by_day)[name] = value
+                out.meta[name] = Meta(name, group.name, group.source, "numeric", group.temporal, w, group.review, f"{text} of {about}", True)
 
-            add(None, "event_count", aggregates.event_count(guard), "number")
-            add(None, "recency_days", aggregates.recency(guard, F.col(END), F.col(date)), "days since the last")
+            add(None, "event_count", aggregates.event_count(every, on_day), "number")
+            add(None, "recency_days", aggregates.recency(every, on_day, F.col(END)), "days since the last")
             for column, kind, aggs, spans in numeric:
                 if w not in spans:
                     continue
                 x = as_flag(F.col(f"`{column}`")) if kind == "boolean" else finite(F.col(f"`{column}`"))
+                own = aggregates.Events(out.days, family, condition, tie, column, x)
                 for a in aggs:
-                    add(column, a, aggregates.AGGREGATES[a](guard, x, order), f"{a} of {column}")
+                    raw = a in aggregates.BY_EVENT
+                    add(column, a, aggregates.BY_EVENT[a](on_event, x) if raw else aggregates.BY_DAY[a](own, on_day), f"{a} of {column}", raw)
                 if group.trends:
-                    delta, ratio = aggregates.halves(guard, x, F.col(END), F.col(date), w)
+                    delta, ratio = aggregates.halves(own, on_day, F.col(END), w)
                     add(column, "trend_delta", delta, f"recent less earlier half of {column}")
                     add(column, "trend_ratio", ratio, f"recent to earlier half of {column}")
             for column, spans in dated:
                 if w in spans:
                     # The column may be text; it is read before the latest is taken.
                     day = F.col(f"`{column}`").cast("string").try_cast("timestamp_ntz").cast("date")
-                    add(column, "recency_days", F.datediff(F.max(END), F.max(F.when(guard, day))).cast("double"), f"days since {column}")
+                    own = aggregates.Events(out.days, family, condition, tie, f"{column} as a date", day)
+                    add(column, "recency_days", aggregates.latest(own, on_day, F.col(END)), f"days since {column}")
     return out
 
 
 def aggregate(events: DataFrame, wanted: dict[str, Column], keys: list[str] = KEYS) -> DataFrame:
     """All aggregates by keys; in several passes over the same events if they are very many."""
     names = list(wanted)
-    passes = [names[i : i + PASS] for i in range(0, len(names), PASS)] or [[]]
-    blocks = [events.groupBy(*keys).agg(*[wanted[n].alias(n) for n in part]) for part in passes if part]
-    if not blocks:
-        return events.select(*keys).distinct()
+    passes = [names[i : i + PASS] for i in range(0, len(names), PASS)]
+    blocks = [events.groupBy(*keys).agg(*[wanted[n].alias(n) for n in part]) for part in passes]
     return functools.reduce(lambda a, b: a.join(b, keys, "full"), blocks)
 
 
-def from_events(frame: DataFrame, events: DataFrame, group: Group, date: str, id_column: str, dates: list[dt.date], embargo: int, skipped: list[dict], tie: str | None = None) -> tuple[DataFrame, dict[str, Meta]]:
-    """The panel's frame with the group's features joined to it."""
+def from_events(
+    frame: DataFrame, events: DataFrame, group: Group, date: str, id_column: str, dates: list[dt.date], embargo: int, skipped: list[dict], tie: str | None = None
+) -> tuple[DataFrame, dict[str, Meta]]:
+    """The panel's frame with the group's features joined to it.
+
+    Events meet by entity and day first, combined before the shuffle; so an entity with very many events
+    is as many rows as it has days. Days are then dealt by entity, and sent to dates and aggregated
+    where they are: what is copied to dates is not shuffled. Only features that need the events
+    themselves (median, standard deviation) send these to dates.
+    """
     events = events.withColumnRenamed(id_column, ID) if id_column != ID else events
-    order = F.struct(F.col(date), F.col(tie)) if tie else F.struct(F.col(date), F.xxhash64(*sorted(events.columns)))
-    specs = window_aggregates(group, events, date, skipped, order)
-    sent = onto_dates(events, dates, date, max(group.windows), embargo)
-    block = aggregate(sent, {n: c for n, (c, _) in specs.items()})
-    return frame.join(block, KEYS, "left"), {n: m for n, (_, m) in specs.items()}
+    longest, known = max(group.windows), dict(events.dtypes)[date] == "date"
+    last = F.col(tie) if tie else F.xxhash64(*sorted(events.columns))
+    made = window_aggregates(group, events, date, skipped, last if known else F.struct(F.col(date), last))
+    reach = (F.col(date) >= F.date_sub(F.lit(min(dates)), embargo + longest)) & (F.col(date) < F.date_sub(F.lit(max(dates)), embargo))
+    near = events.filter(reach)
+    days = aggregate(near.withColumn(aggregates.DAY, F.col(date).cast("date")), made.days.wanted, [ID, aggregates.DAY]).repartition(ID)
+    blocks = [aggregate(onto_dates(days, dates, aggregates.DAY, longest, embargo), made.by_day)]
+    if made.by_event:
+        blocks.append(aggregate(onto_dates(near, dates, date, longest, embargo), made.by_event))
+    for block in blocks:
+        frame = frame.join(block, KEYS, "left")
+    return frame, made.meta
 
 
 def in_force(frame: DataFrame, entity: DataFrame, spec: Spec) -> DataFrame:

@@ -136,20 +136,44 @@ def categorical_scan(frame: DataFrame, names: list[str], label: str, folds: Colu
     Leave-fold-out means are the totals less the fold's own, so no model and no loop over folds.
     """
     rows = long(frame.withColumn("_fold", folds), names, [label, "_fold"], "string")
-    cells = rows.groupBy("feature", "value", "_fold").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    known = cells.filter("value is not null")
-    level = Window.partitionBy("feature", "value")
-    part, every = Window.partitionBy("feature", "_fold"), Window.partitionBy("feature")
-    c = F.col("pos") + F.col("neg")
-    scored = known.withColumns({"out_pos": F.sum("pos").over(level) - F.col("pos"), "out_n": F.sum(c).over(level) - c, "rest_pos": F.sum("pos").over(every) - F.sum("pos").over(part), "rest_n": F.sum(c).over(every) - F.sum(c).over(part)})
-    scored = scored.withColumn("score", F.coalesce(F.try_divide("out_pos", "out_n"), F.try_divide("rest_pos", "rest_n")))
-    ranked = _ranked_auc(scored.groupBy("feature", F.col("score").alias("value")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), ["feature"])
-    levels = known.groupBy("feature", "value").agg(F.sum(c).alias("c")).groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("c").alias("there"))
-    totals = cells.groupBy("feature").agg(F.sum(c).alias("n"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.sum(F.when(F.col("value").isNull(), F.col("pos"))).alias("null_pos"), F.sum(F.when(F.col("value").isNull(), F.col("neg"))).alias("null_neg"))
-    out = totals.join(levels, "feature", "left").join(ranked.select("feature", "n_pos", "n_neg", "area"), "feature", "left")
+    hit, miss = F.col(label) == 1, F.col(label) == 0
+    parts = [F.struct(F.count_if((F.col("_fold") == i) & hit).alias("pos"), F.count_if((F.col("_fold") == i) & miss).alias("neg")) for i in range(k)]
+    # One row for each level, with its counts in every fold; so no feature, however many levels it has, is gathered.
+    levels = rows.groupBy("feature", "value").agg(F.array(*parts).alias("folds"), F.count_if(hit).alias("pos"), F.count_if(miss).alias("neg"))
+    known = levels.filter("value is not null")
+    sums = [F.struct(F.sum(F.col("folds")[i]["pos"]).alias("pos"), F.sum(F.col("folds")[i]["neg"]).alias("neg")) for i in range(k)]
+    every = known.groupBy("feature").agg(F.sum("pos").alias("every_pos"), F.sum("neg").alias("every_neg"), F.array(*sums).alias("every_folds"))
+    cells = known.join(F.broadcast(every), "feature")  # one row per feature
+    pair = F.explode(F.arrays_zip(F.col("folds").alias("own"), F.col("every_folds").alias("all"))).alias("f")
+    cells = cells.select("feature", "value", F.col("pos").alias("level_pos"), F.col("neg").alias("level_neg"), "every_pos", "every_neg", pair)
+    cells = cells.filter("f.own.pos + f.own.neg > 0")
+    out_pos, out_n = F.col("level_pos") - F.col("f.own.pos"), F.col("level_pos") + F.col("level_neg") - F.col("f.own.pos") - F.col("f.own.neg")
+    rest_pos, rest_n = F.col("every_pos") - F.col("f.all.pos"), F.col("every_pos") + F.col("every_neg") - F.col("f.all.pos") - F.col("f.all.neg")
+    score = F.coalesce(F.try_divide(out_pos, out_n), F.try_divide(rest_pos, rest_n))
+    scored = cells.groupBy("feature", score.alias("value")).agg(F.sum("f.own.pos").alias("pos"), F.sum("f.own.neg").alias("neg"))
+    ranked = _ranked_auc(scored, ["feature"])
+    c, absent = F.col("pos") + F.col("neg"), F.col("value").isNull()
+    totals = levels.groupBy("feature").agg(
+        F.sum(c).alias("n"),
+        F.sum("pos").alias("all_pos"),
+        F.sum("neg").alias("all_neg"),
+        F.sum(F.when(absent, F.col("pos"))).alias("null_pos"),
+        F.sum(F.when(absent, F.col("neg"))).alias("null_neg"),
+        F.count("value").alias("n_unique"),
+        F.sum(F.when(~absent, c)).alias("there"),
+    )
+    out = totals.join(ranked.select("feature", "n_pos", "n_neg", "area"), "feature", "left")
     there = F.coalesce("there", F.lit(0))
     fits = (there >= MINIMUM) & (F.least("n_pos", "n_neg") > 1) & (F.col("n_unique") > 1)
-    return out.select("feature", F.when(fits, F.greatest("area", 1 - F.col("area"))).alias("auc"), missing_auc().alias("auc_missing"), F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), (1 - there / F.col("n")).alias("null_share"), F.coalesce(F.try_divide("n_unique", there), F.lit(0.0)).alias("cardinality_ratio"), F.col("n").cast("long").alias("n"))
+    return out.select(
+        "feature",
+        F.when(fits, F.greatest("area", 1 - F.col("area"))).alias("auc"),
+        missing_auc().alias("auc_missing"),
+        F.col("n_unique").cast("long").alias("n_unique"),
+        (1 - there / F.col("n")).alias("null_share"),
+        F.coalesce(F.try_divide("n_unique", there), F.lit(0.0)).alias("cardinality_ratio"),
+        F.col("n").cast("long").alias("n"),
+    )
 
 
 def average_precision(frame: DataFrame, score: str, label: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..errors import DataError
 from ..functions import cleaning as C
 
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin-1")
-SEPARATORS = (",", ";", "\t", "|", ":")
+SEPARATORS = (",", ";", "\t", "|")
 SNIFF = 1 << 16
 #: cp1252 differs from latin-1 in these bytes only: the latter's controls, and what they stand for.
 _KNOWN = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
@@ -48,7 +48,7 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
             line = bytes(head).decode(encoding, "strict" if encoding != "utf-8" or len(head) < SNIFF else "ignore").splitlines()[0]
         except (UnicodeDecodeError, IndexError):
             continue
-        best = max(SEPARATORS[:4], key=line.count)
+        best = max(SEPARATORS, key=line.count)
         if line.count(best):
             return encoding, best
     raise DataError(f"{path}: no encoding and separator give more than one column")

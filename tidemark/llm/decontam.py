@@ -126,7 +126,10 @@ class PositionalIndex:
         needed = places.join(_hint(others, self.small), "phrase_id").select(*place, "wanted", "offset", "term", (F.col("start") + F.col("offset")).alias("position"))
         needed = materialize(needed, "needed", shrink=4)
         few = needed.count() <= BROADCAST_PLACES
-        there = self.lists.join(_hint(needed, few), [*_KEY, "position", "term"]).groupBy(*place, "wanted").agg(F.count_distinct("offset").alias("there"))
+        # Only documents that hold a place are asked for the other terms; while they are few, the rest of the postings is not shuffled.
+        held = materialize(places.select(*_KEY).distinct(), "held", shrink=4)
+        lists = self.lists.join(F.broadcast(held), _KEY, "left_semi") if held.count() <= BROADCAST_PLACES else self.lists
+        there = lists.join(_hint(needed, few), [*_KEY, "position", "term"]).groupBy(*place, "wanted").agg(F.count_distinct("offset").alias("there"))
         whole = there.filter("there = wanted").select(*place)
         two = places.join(_hint(self.ranked.filter("length = 2").select("phrase_id"), self.small), "phrase_id", "left_semi")
         out = one.distinct().unionByName(two).unionByName(whole)

@@ -115,6 +115,15 @@ def range_part(bounds: list[tuple[int, ...]], *columns: str) -> Column:
     return F.aggregate(steps, F.lit(0), lambda done, step: F.when((done + step <= len(bounds)) & F.coalesce(at_or_below(done + step), F.lit(False)), done + step).otherwise(done))
 
 
+def range_ends(rows: DataFrame, column: str, weight: Column, parts: int) -> list[int]:
+    """Lower ends of all ranges but the first, rising: approximate quantiles of a long column, in which a row counts 1 + weight times.
+
+    A value that holds several quantiles is listed as often.
+    """
+    heavy = rows.select(F.explode(F.array_repeat(F.col(column), (weight + 1).cast("int"))).alias("v"))
+    return heavy.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, in rows and in bytes, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, keyed, materialize, partitions, range_part, record_batch, small_batches
+from .common import arrow_schema, keyed, materialize, partitions, range_ends, range_part, record_batch, small_batches
 
 SIZE = 4096
 CLOSING = 2
@@ -93,9 +93,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
     table = materialize(tokenized(docs, vocabulary), "ids", "snappy")  # ids hardly shrink
     n = partitions(spark)
-    # Range bounds: quantiles of the place in the order, as many as there are partitions.
-    quantiles = table.agg(F.percentile_approx("spot", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]
-    bounds = sorted(set(quantiles or []))
+    # Range bounds: quantiles of the place in the order, as many as there are partitions; long documents count for more.
+    bounds = sorted(set(range_ends(table, "spot", F.col("tokens") / SIZE, n)))
     ranged = table.withColumn("part", range_part([(b,) for b in bounds], "spot"))
     totals = {r["part"]: r["s"] for r in ranged.groupBy("part").agg(F.sum("tokens").alias("s")).collect()}
     offsets, done = {}, 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, keyed, partitions, range_part, record_batch, small_batches
+from .common import arrow_map, arrow_schema, keyed, partitions, range_ends, range_part, record_batch, small_batches
 from .rolling import kgrams, mix, window_minima
 
 GRAM = 24
@@ -82,7 +82,7 @@ def in_turn(docs: DataFrame) -> DataFrame:
     """part, turn, k1, k2, doc_id, text, lead: rows dealt to ranges of falling doc_id, each with a copy (lead) of the row that follows it.
 
     turn is the id with all bits turned, so that it rises where the id falls. Ranges come from
-    quantiles of it; an id that fills several ranges is cut by the hash of the text. The first row
+    quantiles of it, in which long texts count for more; an id that fills several ranges is cut by the hash of the text. The first row
     of each range is found by an aggregate, and its text goes twice, to its own range and to the
     range before. So one shuffle moves the texts once.
     """
@@ -90,8 +90,7 @@ def in_turn(docs: DataFrame) -> DataFrame:
     base = keyed(docs).withColumn("turn", F.bitwise_not("k1"))
     n = partitions(spark)
     ids = base.select("turn", "k2")
-    quantiles = ids.agg(F.percentile_approx("turn", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0]
-    bounds = _bounds(quantiles or [], n)
+    bounds = _bounds(range_ends(base, "turn", F.length("text") / 8192, n), n)
     base, ids = (x.withColumn("part", range_part(bounds, "turn", "k2")) for x in (base, ids))
     firsts = {r["part"]: tuple(r["f"]) for r in ids.groupBy("part").agg(F.min(F.struct("turn", "k2")).alias("f")).collect()}
     parts = sorted(firsts)

@@ -94,7 +94,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     table = materialize(tokenized(docs, vocabulary), "ids", "snappy")  # ids hardly shrink
     n = partitions(spark)
     # Range bounds: quantiles of the place in the order, as many as there are partitions; long documents count for more.
-    bounds = sorted(set(range_ends(table, "spot", F.col("tokens") / SIZE, n)))
+    bounds = sorted(set(range_ends(table, "spot", F.col("tokens") / 512, n)))
     ranged = table.withColumn("part", range_part([(b,) for b in bounds], "spot"))
     totals = {r["part"]: r["s"] for r in ranged.groupBy("part").agg(F.sum("tokens").alias("s")).collect()}
     offsets, done = {}, 0

@@ -90,7 +90,7 @@ def in_turn(docs: DataFrame) -> DataFrame:
     base = keyed(docs).withColumn("turn", F.bitwise_not("k1"))
     n = partitions(spark)
     ids = base.select("turn", "k2")
-    bounds = _bounds(range_ends(base, "turn", F.length("text") / 8192, n), n)
+    bounds = _bounds(range_ends(base, "turn", F.length("text") / 2048, n), n)
     base, ids = (x.withColumn("part", range_part(bounds, "turn", "k2")) for x in (base, ids))
     firsts = {r["part"]: tuple(r["f"]) for r in ids.groupBy("part").agg(F.min(F.struct("turn", "k2")).alias("f")).collect()}
     parts = sorted(firsts)

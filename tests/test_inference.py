@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import special
-from tidemark.operators import causal, drivers, experiment, metrics, modeling, survival
+from tidemark.operators import causal, drivers, experiment, metrics, modeling, shap, survival
 from tidemark.operators.features import Features, Meta
 from tidemark.plans.spec import Spec
 from tidemark.plans.timeline import Timeline
@@ -276,6 +276,59 @@ def test_model_on_a_clear_signal(spark):
     assert weights["signal"] > 0.2 > weights["kind"]
 
 
+def plain_shapley(trees, x, owner, features, rows):
+    """By all subsets of features: the expected margin when only those of the subset are known, the others passing as the sample does."""
+    from itertools import combinations
+
+    def expected(tree, row, known):
+        total = 0.0
+        for leaf in tree:
+            chance, reached = 1.0, np.ones(len(x), bool)
+            for column, test in leaf.path:
+                ok = test(x[:, column])
+                share = (reached & ok).sum() / reached.sum() if reached.sum() else 0.5
+                reached = reached & ok
+                chance *= float(ok[row]) if owner[column] in known else share
+            total += chance * leaf.value
+        return total
+
+    out = np.zeros((rows, features))
+    for row in range(rows):
+        for one in range(features):
+            rest = [f for f in range(features) if f != one]
+            for size in range(features):
+                for known in combinations(rest, size):
+                    w = math.factorial(size) * math.factorial(features - 1 - size) / math.factorial(features)
+                    out[row, one] += w * sum(expected(t, row, {*known, one}) - expected(t, row, set(known)) for t in trees)
+    return out
+
+
+def test_shapley_values(spark):
+    r = np.random.default_rng(4)
+    rows = [(f"e{i}", D(2023, 1, 1), int(a + 0.5 * b * a > 0.4), float(a) if i % 9 else None, float(b), "xyz"[i % 3], 1.0) for i, (a, b) in enumerate(r.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "entity_id string, snapshot_date date, label int, a double, b double, kind string, flat double").cache()
+    meta = {n: Meta(n, "g", "entity", "categorical" if n == "kind" else "numeric", "static", None, "normal", "", True) for n in ("kind", "a", "flat", "b")}
+    model = modeling.fit_tree(df, meta, {"max_iter": 3, "learning_rate": 0.4, "max_leaf_nodes": 15, "class_weight": None}, 1)
+    trees = shap.leaves(model.stages[-1].toDebugString)
+    assert [len(t) for t in trees] == [(t.numNodes + 1) // 2 for t in model.stages[-1].trees] and len(trees) >= 2
+    numeric, categorical = modeling.split_names(meta)
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    ready = PipelineModel(model.stages[:-1]).transform(modeling.tree_inputs(df, numeric, categorical)).select(vector_to_array("inputs").alias("x"), "entity_id")
+    x = np.array([q["x"] for q in ready.orderBy("entity_id").collect()])
+    owner = np.array([["kind", "a", "flat", "b"].index(n) for n in (*numeric, *numeric, *categorical)])
+    got = shap.values(trees, x, owner, 4)
+    assert np.allclose(got[:25], plain_shapley(trees, x, owner, 4, 25), atol=1e-9)
+    # They add up to a row's margin less the mean one.
+    margin = np.array([sum(leaf.value * all(t(x[i : i + 1, c])[0] for c, t in leaf.path) for tree in trees for leaf in tree) for i in range(len(x))])
+    assert np.allclose(got.sum(axis=1), margin - margin.mean(), atol=1e-9)
+    found = shap.importance(model, df, meta)
+    assert found["a"] > found["b"] > found["flat"] == 0.0 and list(found) == list(meta)
+    assert drivers.importances("auto", model, df, meta, 1, 42)[0] == found and "shuffled" in drivers.importances("permutation", model, df, meta, 1, 3)[1]
+    assert set(shap.importance(model, df.limit(0), meta).values()) == {0.0}
+
+
 def test_shuffle_keeps_the_values(spark):
     df = spark.range(100).selectExpr("id as entity_id", "date'2023-01-01' as snapshot_date", "id as v")
     out = [r["v"] for r in drivers.shuffled(df, "v", 1).orderBy("entity_id").collect()]

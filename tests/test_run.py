@@ -9,7 +9,8 @@ from tidemark.sources import synthetic
 from tidemark.streaming import counts_by_window
 
 
-def test_whole_run(spark, tmp_path):
+def test_whole_run(spark, tmp_path, caplog):
+    caplog.set_level("INFO", "tidemark")
     made = synthetic.make(spark, 250)
     tables = {"entity": made["customers"], "usage": made["usage_events"], "billing": made["billing_events"]}
     done = pipeline.run(spark, demo_spec(str(tmp_path)), tables)
@@ -17,10 +18,13 @@ def test_whole_run(spark, tmp_path):
     assert any(f.code == "SURVIVORSHIP_HANDLED" for f in done.report.findings)
     curve = [r["survival"] for r in done.curve.orderBy("t").collect()]
     assert curve == sorted(curve, reverse=True) and 0 <= curve[-1] <= 1
+    assert all(f"── {title} ─" in caplog.text for title in ("Data", "Panel", "Features", "Leakage audit", "Model", "Drivers", "Survival"))
     written = report.write(done, tmp_path / "out")
     assert {"report.html", "summary.json", "feature_dictionary.csv", "survival_curve.csv"} <= set(written)
     assert json.loads((tmp_path / "out/summary.json").read_text())["rows"] == done.summary["rows"]
+    assert any("Shapley" in n for n in done.notes) and done.strata and {r["column"] for r in done.logrank} <= set(done.strata)
     page = (tmp_path / "out/report.html").read_text()
+    assert all(f"Survival by {c}" in page for c in done.strata)
     assert "<svg" in page and "http" not in page.replace("http-equiv", "")
 
 

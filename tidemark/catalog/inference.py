@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, drivers, experiment, metrics, modeling, splits, survival
+from ..operators import causal, drivers, experiment, metrics, modeling, shap, splits, survival
 from ..operators.features import Meta
 from ..plans import panel as panels
 from . import base
@@ -204,6 +204,12 @@ def permutation_importance(spark, sf):
     return spark.createDataFrame(sorted(found.items()), "feature string, importance double")
 
 
+def shap_importance(spark, sf):
+    train, test = _sides(spark, sf)
+    found = shap.importance(modeling.fit_tree(train, _META, _OPTIONS, 42), test, _META)
+    return spark.createDataFrame(sorted(found.items()), "feature string, importance double")
+
+
 def _cox_design(spark, sf):
     made = survival.design(base.lifetimes(spark, sf), ["balance"], ["segment"])
     made.frame = made.frame.cache()
@@ -228,5 +234,5 @@ def aipw_effect(spark, sf):
     return spark.createDataFrame([(found["n"], found["ate"], found["se"], found["overlap"])], "n long, ate double, se double, overlap double")
 
 
-for _f in (model_gbt_scores, model_logistic, model_calibrated, permutation_importance, cox_ph, cox_proportionality, aipw_effect):
+for _f in (model_gbt_scores, model_logistic, model_calibrated, permutation_importance, shap_importance, cox_ph, cox_proportionality, aipw_effect):
     _entry(_f.__name__, _f)

@@ -1,4 +1,4 @@
-"""What drives the score: permutation importance, direction, effect, stability."""
+"""What drives the score: Shapley values or permutation importance, direction, effect, stability."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.panel import AT, ID
-from . import metrics, modeling
+from . import metrics, modeling, shap
 from .features import Meta
 
 TOP_PROFILES = 10
@@ -53,6 +53,13 @@ def permutation(model: PipelineModel, frame: DataFrame, meta: dict[str, Meta], r
     return {n: max(0.0, sum(x) / len(x)) if x else 0.0 for n, x in losses.items()}
 
 
+def importances(method: str, model: PipelineModel, frame: DataFrame, meta: dict[str, Meta], repeats: int, seed: int) -> tuple[dict[str, float], str]:
+    """Importance of each feature, and what it is: Shapley values unless method is permutation."""
+    if method == "permutation":
+        return permutation(model, frame, meta, repeats, seed), "loss of area under the curve with the feature shuffled"
+    return shap.importance(model, frame, meta, seed=seed), "mean absolute Shapley value on the held-out side"
+
+
 def direction(frame: DataFrame, meta: dict[str, Meta]) -> DataFrame:
     """feature, direction: whether large values go with the event; for numbers."""
     numeric = [n for n, m in meta.items() if m.kind == "numeric"]

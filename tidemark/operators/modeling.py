@@ -48,7 +48,7 @@ def weighted(frame: DataFrame, class_weight: str | None, label: str = "label") -
     return frame.withColumn("weight", weight)
 
 
-def _split_names(meta: dict[str, Meta]) -> tuple[list[str], list[str]]:
+def split_names(meta: dict[str, Meta]) -> tuple[list[str], list[str]]:
     return [n for n, m in meta.items() if m.kind == "numeric"], [n for n, m in meta.items() if m.kind != "numeric"]
 
 
@@ -126,7 +126,7 @@ def positive(model: PipelineModel, frame: DataFrame, name: str = "score") -> Dat
 
 def fit_tree(train: DataFrame, meta: dict[str, Meta], options: dict, seed: int) -> PipelineModel:
     """Boosted trees; classes weigh as options' class_weight says (balanced, or none)."""
-    numeric, categorical = _split_names(meta)
+    numeric, categorical = split_names(meta)
     levels = common_levels(train, categorical, 1, TREE_LEVELS)
     ready = tree_inputs(weighted(train, options.get("class_weight")), numeric, categorical, levels)
     # A share of entities is kept out for early stopping.
@@ -135,7 +135,7 @@ def fit_tree(train: DataFrame, meta: dict[str, Meta], options: dict, seed: int)
 
 
 def score_tree(model: PipelineModel, frame: DataFrame, meta: dict[str, Meta], name: str = "score") -> DataFrame:
-    numeric, categorical = _split_names(meta)
+    numeric, categorical = split_names(meta)
     keyed = frame.withColumn("_row", F.struct(*[f"`{c}`" for c in frame.columns]))
     ready = tree_inputs(keyed, numeric, categorical)
     return positive(model, ready, name).select("_row.*", name)
@@ -143,7 +143,7 @@ def score_tree(model: PipelineModel, frame: DataFrame, meta: dict[str, Meta], na
 
 def fit_linear(train: DataFrame, meta: dict[str, Meta], options: dict) -> tuple[PipelineModel, list[str]]:
     """A logistic model; levels of fewer than RARE rows are one level, classes weigh as in fit_tree."""
-    numeric, categorical = _split_names(meta)
+    numeric, categorical = split_names(meta)
     there = train.agg(*[F.count(f"`{n}`").alias(n) for n in numeric]).first() if numeric else {}
     usable = [n for n in numeric if there[n]]
     levels = {c: x for c, x in common_levels(train, categorical, RARE, LINEAR_LEVELS).items() if x}
@@ -153,7 +153,7 @@ def fit_linear(train: DataFrame, meta: dict[str, Meta], options: dict) -> tuple[
 
 
 def score_linear(model: PipelineModel, frame: DataFrame, meta: dict[str, Meta], name: str = "baseline") -> DataFrame:
-    _, categorical = _split_names(meta)
+    _, categorical = split_names(meta)
     return positive(model, frame.withColumns(categories(categorical)), name)
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 
 WIDTH, HEIGHT, PAD = 640, 240, 36
 ROWS = 40
+#: Columns whose curves are drawn.
+STRATA = 3
 STYLE = "body{font:15px/1.5 system-ui;max-width:960px;margin:2em auto;padding:0 1em;color:#222}table{border-collapse:collapse;margin:1em 0}td,th{border-bottom:1px solid #ddd;padding:.25em .6em;text-align:left}.BLOCK{color:#a11}.WARN{color:#a60}.tile{display:inline-block;margin:0 1.5em 1em 0}.tile b{display:block;font-size:1.5em}svg{background:#fafafa;margin:.5em 0}"
 
 
@@ -115,30 +117,63 @@ def build(run: Any) -> str:
     """run: a plans.pipeline.Run."""
     tiles = "".join(f'<span class="tile"><b>{shown(v)}</b>{html.escape(k)}</span>' for k, v in run.summary.items() if isinstance(v, (int, float, str)))
     by = rows_of(run.by_date.orderBy("snapshot_date"), 400)
-    sections = [("Overview", tiles)]
-    sections.append(("Integrity", table([{"level": f.level, "code": f.code, "finding": f.message, "columns": ", ".join(f.columns[:8])} for f in run.report.ordered()])))
-    sections.append(("Panel", line([float(i) for i in range(len(by))], {"rate": [r["churn_rate"] or 0.0 for r in by]}, "Event rate by prediction date") + table(by)))
+    findings = [{"level": f.level, "code": f.code, "finding": f.message, "columns": ", ".join(f.columns[:8])} for f in run.report.ordered()]
+    rate = line([float(i) for i in range(len(by))], {"rate": [r["churn_rate"] or 0.0 for r in by]}, "Event rate by prediction date")
+    sections = [("Overview", tiles), ("Integrity", table(findings)), ("Panel", rate + table(by))]
     if run.fitted:
-        cal = rows_of(run.calibration.orderBy("bin"))
-        lift = rows_of(run.deciles.orderBy("decile"))
-        sections.append(("Model", table([{"model": "trees"} | run.fitted.metrics, {"model": "logistic"} | run.fitted.baseline]) + line([r["mean_predicted"] for r in cal], {"observed": [r["observed"] for r in cal], "predicted": [r["mean_predicted"] for r in cal]}, "Calibration") + bars([str(r["decile"] + 1) for r in lift], [r["rate"] for r in lift], "Event rate by risk decile") + table(run.fitted.cv)))
+        sections.append(("Model", _model(run)))
     if run.drivers is not None:
         top = rows_of(run.drivers.orderBy("rank"), 20)
         sections.append(("Drivers", bars([r["feature"] for r in top], [r["importance"] for r in top], "Importance") + table(top)))
         if run.profiles is not None:
             sections.append(("Profiles", table(rows_of(run.profiles, 120))))
     if run.effects:
-        good = [e for e in run.effects if e.valid and e.ci]
-        sections.append(("Effects", forest([e.treatment for e in good], [e.ate for e in good], [e.ci[0] for e in good], [e.ci[1] for e in good], "Average effect") + table([{"treatment": e.treatment, "verdict": e.verdict, "effect": e.ate, "p": e.p_value, "naive": e.naive, "overlap": e.overlap, "notes": "; ".join(e.notes)} for e in run.effects])))
+        sections.append(("Effects", _effects(run.effects)))
     if run.experiment:
         sections.append(("Experiment", table(run.experiment.results) + table(run.experiment.checks) + notes(run.experiment.notes)))
     if run.curve is not None:
-        c = rows_of(run.curve.orderBy("t"), 5000)
-        sections.append(("Survival", line([float(r["t"]) for r in c], {"survival": [r["survival"] for r in c]}, "Survival", True, ([r["ci_low"] for r in c], [r["ci_high"] for r in c])) + table(run.cox.table() if run.cox else [])))
+        sections.append(("Survival", _survival(run)))
     sections.append(("Notes", notes(run.notes)))
     return page("Retention report", sections)
 
 
+def _model(run: Any) -> str:
+    cal, lift = rows_of(run.calibration.orderBy("bin")), rows_of(run.deciles.orderBy("decile"))
+    predicted = [r["mean_predicted"] for r in cal]
+    both = table([{"model": "trees"} | run.fitted.metrics, {"model": "logistic"} | run.fitted.baseline])
+    curve = line(predicted, {"observed": [r["observed"] for r in cal], "predicted": predicted}, "Calibration")
+    return both + curve + bars([str(r["decile"] + 1) for r in lift], [r["rate"] for r in lift], "Event rate by risk decile") + table(run.fitted.cv)
+
+
+def _effects(effects: list) -> str:
+    good = [e for e in effects if e.valid and e.ci]
+    rows = [{"treatment": e.treatment, "verdict": e.verdict, "effect": e.ate, "p": e.p_value, "naive": e.naive, "overlap": e.overlap, "notes": "; ".join(e.notes)} for e in effects]
+    return forest([e.treatment for e in good], [e.ate for e in good], [e.ci[0] for e in good], [e.ci[1] for e in good], "Average effect") + table(rows)
+
+
+def _survival(run: Any) -> str:
+    """The curve of all, one chart for each of the first strata columns, the log-rank tests and the Cox table."""
+    c = rows_of(run.curve.orderBy("t"), 5000)
+    out = line([float(r["t"]) for r in c], {"survival": [r["survival"] for r in c]}, "Survival", True, ([r["ci_low"] for r in c], [r["ci_high"] for r in c]))
+    for column, curves in list(run.strata.items())[:STRATA]:
+        by: dict[str, list] = {}
+        for r in rows_of(curves.orderBy(column, "t"), 40_000):
+            by.setdefault(str(r[column]), []).append(r)
+        days = sorted({float(r["t"]) for rows in by.values() for r in rows})
+        out += line(days, {k: _steps(rows, days) for k, rows in by.items()}, f"Survival by {column}", True)
+    return out + (table(run.logrank) if run.logrank else "") + table(run.cox.table() if run.cox else [])
+
+
+def _steps(rows: list[dict], days: list[float]) -> list[float]:
+    """A curve's value on each of the days: that of its last time so far, 1 before the first."""
+    out, value, at = [], 1.0, 0
+    for d in days:
+        while at < len(rows) and rows[at]["t"] <= d:
+            value, at = rows[at]["survival"], at + 1
+        out.append(value)
+    return out
+
+
 def write(run: Any, folder: str | Path) -> list[str]:
     """report.html, summary.json and the tables that have rows."""
     folder = Path(folder)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 MINIMUM = 20
@@ -36,7 +36,8 @@ def below(counts: DataFrame, by: list[str], sums: list[str], parts: int = PARTS)
     totals = dealt.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
     inside = Window.partitionBy(*by, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    summed = dealt.withColumns({f"_w_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}).join(F.broadcast(totals), [*by, "_b"])  # features x parts rows
+    running = {f"_w_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}
+    summed = dealt.withColumns(running).join(F.broadcast(totals), [*by, "_b"])  # features x parts rows
     return summed.select(*counts.columns, *[(F.col(f"_o_{s}") + F.col(f"_w_{s}")).alias(f"below_{s}") for s in sums])
 
 
@@ -53,17 +54,25 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -
         return F.max(F.when((F.col("below_c") <= place) & (place < F.col("below_c") + F.col("c")), F.col("value")))
 
     places = [F.lit(p) * (F.col("_n") - 1) for p in shares]
-    found = ranked.groupBy(*keys).agg(*[F.max(x - F.floor(x)).alias(f"_f{i}") for i, x in enumerate(places)], *[at(F.floor(x)).alias(f"_a{i}") for i, x in enumerate(places)], *[at(F.ceil(x)).alias(f"_z{i}") for i, x in enumerate(places)])
+    parts = []
+    for i, x in enumerate(places):
+        parts += [F.max(x - F.floor(x)).alias(f"_f{i}"), at(F.floor(x)).alias(f"_a{i}"), at(F.ceil(x)).alias(f"_z{i}")]
+    found = ranked.groupBy(*keys).agg(*parts)
     q = F.array(*[F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}") for i in range(len(shares))])
     out = found.select(*keys, q.alias("q"))
     return out if by else out.drop("_all")
 
 
-def positions(frame: DataFrame, score: str, keep: list[str], tie: list[str]) -> DataFrame:
-    """The kept columns and pos: places from 0 by falling score, ties by the tie columns; no task sorts all rows."""
+def spread(frame: DataFrame, score: str, *more: Column) -> Row:
+    """One pass: n, cuts (score bounds of about equal numbers of rows) and more."""
+    cuts = F.percentile_approx(score, [i / PARTS for i in range(1, PARTS)], 10 * PARTS)
+    return frame.agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts"), *more).first()
+
+
+def positions(frame: DataFrame, score: str, keep: list[str], tie: list[str], cuts: list[float] | None = None) -> DataFrame:
+    """The kept columns and pos: places from 0 by falling score, ties by the tie columns; no task sorts all rows. cuts, if known, are those of spread()."""
     rows = frame.select(F.col(score).alias("value"), *[c for c in keep if c not in tie], *tie)
-    cuts = rows.agg(F.percentile_approx("value", [i / PARTS for i in range(1, PARTS)], 10 * PARTS).alias("e")).first()["e"] or []
-    cuts = sorted(set(cuts))
+    cuts = sorted(set((spread(frame, score)["cuts"] if cuts is None else cuts) or []))
     rows = rows.withColumn("_b", -F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: e <= F.col("value"))) if cuts else F.lit(0))
     sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
     before = sizes.select("_b", F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -74,7 +83,9 @@ def positions(frame: DataFrame, score: str, keep: list[str], tie: list[str]) ->
 def _ranked_auc(counts: DataFrame, by: list[str]) -> DataFrame:
     """counts: by, value, pos, neg (sums per distinct value). by, n_pos, n_neg, n_values, area."""
     won = F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)
-    return below(counts, by, ["neg"]).withColumn("won", won).groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count(F.lit(1)).alias("n_values"), F.sum("won").alias("won")).withColumn("area", F.try_divide("won", F.col("n_pos") * F.col("n_neg"))).drop("won")
+    sums = [F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count(F.lit(1)).alias("n_values"), F.sum("won").alias("won")]
+    out = below(counts, by, ["neg"]).withColumn("won", won).groupBy(*by).agg(*sums)
+    return out.withColumn("area", F.try_divide("won", F.col("n_pos") * F.col("n_neg"))).drop("won")
 
 
 def auc(frame: DataFrame, value: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -188,19 +199,25 @@ def average_precision(frame: DataFrame, score: str, label: str) -> DataFrame:
 def headline(frame: DataFrame, score: str, label: str) -> DataFrame:
     """n, base_rate, brier, log_loss in one pass."""
     p = F.least(F.greatest(F.col(score), F.lit(CLIP)), F.lit(1 - CLIP))
-    return frame.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("base_rate"), F.avg((F.col(score) - F.col(label)) ** 2).alias("brier"), (-F.avg(F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p)))).alias("log_loss"))
+    loss = -F.avg(F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+    brier = F.avg((F.col(score) - F.col(label)) ** 2)
+    return frame.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("base_rate"), brier.alias("brier"), loss.alias("log_loss"))
 
 
 def capture(frame: DataFrame, score: str, label: str, tie: list[str], shares: tuple[int, ...] = SHARES) -> DataFrame:
     """share, k, capture, lift of the highest scores, all shares in one pass; equal scores go by the tie columns."""
-    totals = frame.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("events")).first()
+    totals = spread(frame, score, F.sum(label).alias("events"))
     n, events = totals["n"], totals["events"] or 0
     if not n:
         return frame.sparkSession.createDataFrame([], "share int, k long, capture double, lift double")
     tops = {share: max(1, n * share // 100) for share in shares}
-    placed = positions(frame, score, [label], tie)
+    placed = positions(frame, score, [label], tie, totals["cuts"])
     found = placed.agg(*[F.sum(F.when(F.col("pos") < k, F.col(label))).alias(f"s{share}") for share, k in tops.items()])
-    rows = [F.struct(F.lit(share).alias("share"), F.lit(k).cast("long").alias("k"), F.try_divide(F.col(f"s{share}"), F.lit(events)).alias("capture"), F.try_divide(F.col(f"s{share}") / k, F.lit(events / n)).alias("lift")) for share, k in tops.items()]
+    rows = []
+    for share, k in tops.items():
+        caught = F.col(f"s{share}")
+        capture, lift = F.try_divide(caught, F.lit(events)), F.try_divide(caught / k, F.lit(events / n))
+        rows.append(F.struct(F.lit(share).alias("share"), F.lit(k).cast("long").alias("k"), capture.alias("capture"), lift.alias("lift")))
     return found.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -226,9 +243,9 @@ def calibration(frame: DataFrame, score: str, label: str, parts: int = 10) -> Da
 
 def lift_deciles(frame: DataFrame, score: str, label: str, tie: list[str], parts: int = 10) -> DataFrame:
     """decile (0 the riskiest), n, rate: by position among rows sorted by falling score, ties by the tie columns."""
-    n = frame.count()
-    part = F.floor(F.col("pos") * parts / F.lit(n)).cast("int")
-    return positions(frame, score, [label], tie).groupBy(part.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("rate"))
+    about = spread(frame, score)
+    part = F.floor(F.col("pos") * parts / F.lit(about["n"])).cast("int")
+    return positions(frame, score, [label], tie, about["cuts"] or []).groupBy(part.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("rate"))
 
 
 def numeric_effects(frame: DataFrame, names: list[str], label: str) -> DataFrame:
@@ -237,7 +254,8 @@ def numeric_effects(frame: DataFrame, names: list[str], label: str) -> DataFrame
     cuts = quantiles(rows, ["feature"], "value", [0.2, 0.8])
     both = rows.join(F.broadcast(cuts), "feature")  # one row per feature, fewer than columns of the frame
     low, high = F.col("value") <= F.col("q")[0], F.col("value") >= F.col("q")[1]
-    return both.groupBy("feature").agg(F.avg(F.when(low, F.col(label))).alias("low_rate"), F.avg(F.when(high, F.col(label))).alias("high_rate")).withColumn("spread", F.col("high_rate") - F.col("low_rate"))
+    rates = [F.avg(F.when(side, F.col(label))).alias(name) for name, side in (("low_rate", low), ("high_rate", high))]
+    return both.groupBy("feature").agg(*rates).withColumn("spread", F.col("high_rate") - F.col("low_rate"))
 
 
 def categorical_effects(frame: DataFrame, names: list[str], label: str) -> DataFrame:

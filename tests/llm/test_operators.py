@@ -663,6 +663,34 @@ def test_spanning_links_on_a_hot_group():
     assert brute.components(range(120), pairs) == brute.components(range(120), found) and len(found) < 120 and all((max(p), min(p)) in set(pairs) for p in found)
 
 
+def test_crossing_links_join_what_all_links_join():
+    r = np.random.default_rng(7)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(100) > 0.08] + 1000 * (i % 3), r.integers(9000, 9900, 8).astype(np.uint64)])) for i in range(60)]
+    component = [i if i % 7 else 0 for i in range(60)]
+    some, others = [i for i in range(60) if component[i]], list(range(60))
+    pairs = [(i, j) for i in some for j in others if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    ties = [(i, 0) for i in range(60) if component[i] == 0]
+    found = [(some[a], others[b]) for a, b in neardup.crossing_links([(component[i], sets[i]) for i in some], [(component[i], sets[i]) for i in others])]
+    assert set(found) <= set(pairs) and len(found) < len(some)
+    assert brute.components(range(60), pairs + ties) == brute.components(range(60), found + ties)
+
+
+def test_a_large_cluster_of_which_some_are_far_from_the_hubs(spark, monkeypatch):
+    """A chain of texts, each near the next but far from the first, beside many copies of one text."""
+    monkeypatch.setattr(neardup.links, "__defaults__", (neardup.WIDTH, 6, neardup.BLOCK_SHINGLES))
+    r = random.Random(31)
+    words, texts = passage(r, 90).split(), []
+    for i in range(25):
+        words = list(words)
+        for _ in range(3):
+            words[r.randrange(len(words))] = passage(r, 1)
+        texts.append(" ".join(words))
+    texts += [" ".join(words[:-2] + [passage(r, 2)]) for _ in range(30)] + [texts[4]] * 3
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.groups(docs(spark, texts)).collect()}
+    assert got == brute.near_duplicates(dict(enumerate(texts)))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = neardup.groups(odd(spark)).collect()
     assert len(rows) == 9 and {r["component_id"] for r in rows if r["doc_id"] == 5} == {5}

@@ -9,8 +9,10 @@ TIGHT of the least's registers are compared among themselves: leader after leade
 share LOOSE of its registers, and only those that share TIGHT leave with it. Buckets beyond BLOCK such
 members are dealt to tasks by pairs of blocks. Within a cluster the full sets decide every link that could join two components, exactly: documents
 outside the largest component so far are matched against all the others by an inverted index. A
-cluster beyond BLOCK documents or BLOCK_SHINGLES is dealt to tasks by pairs of blocks. Only links
-that join components leave a task.
+cluster of up to BLOCK documents and BLOCK_SHINGLES is one task. In a larger one a few members are
+hubs: every member is compared with the hubs, in as many tasks as the cluster has blocks. What that
+leaves outside the largest component is then dealt out in blocks, and each meets every block of the
+cluster. Only links that join components leave a task.
 
 Texts of equal sets are one node throughout. Two documents of one bucket that share TIGHT - LOOSE of
 their registers or more always enter one cluster, whoever else is in the bucket: if one leaves with a
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_map, arrow_schema, keyed, materialize, memo, partitions, record_batch, text_of
+from .common import NO_ID, arrow_map, arrow_schema, drop, keyed, materialize, memo, partitions, record_batch, text_of
 from .graph import components
 
 #: Links: 100 * shared >= PERCENT * all.
@@ -44,6 +46,7 @@ TIGHT = 0.85
 BLOCK = 4000
 BLOCK_SHINGLES = 4_000_000
 BROADCAST_MEMBERS = 300_000
+HUBS = 4
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -179,38 +182,45 @@ class _Merged:
         return True
 
 
+class _Index:
+    """Which sets hold a shingle, of a list of sorted sets."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, self.owner = values[order], owner[order]
+        self.heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        self.distinct, self.ends = values[self.heads], np.append(self.heads[1:], len(values))
+
+    def linked(self, own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+        """Numbers of the sets linked with one more set, by whole sets."""
+        at = np.minimum(np.searchsorted(self.distinct, own), len(self.distinct) - 1)
+        at = at[self.distinct[at] == own]
+        begins, lengths = self.heads[at], self.ends[at] - self.heads[at]
+        if not len(begins):
+            return np.empty(0, np.int64)
+        places = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        shared = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero((shared > 0) & (100 * shared >= percent * (self.sizes + len(own) - shared)))
+
+
 def spanning_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links, by exact sets, that connect what all links connect; at most one fewer than sets."""
     n = len(sets)
     if n < 2:
         return []
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), sizes)
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    distinct, ends = values[heads], np.append(heads[1:], len(values))
-    merged, links = _Merged(n), []
+    index, merged, links = _Index(sets), _Merged(n), []
 
     def look_up(i: int) -> None:
-        at = np.searchsorted(distinct, sets[i])
-        begins, stops = heads[at], ends[at]
-        many = stops - begins > 1
-        begins, stops = begins[many], stops[many]
-        if not len(begins):
-            return
-        lengths = stops - begins
-        places = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        shared = np.bincount(owner[places], minlength=n)
-        linked = np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared))
-        for j in linked.tolist():
+        for j in index.linked(sets[i], percent).tolist():
             if j != i and merged.join(i, j):
                 links.append((i, j))
 
     # A few look-ups find the largest component; then every document outside it looks for its links.
     tried = set()
-    for i in {int(np.argsort(sizes, kind="stable")[n // 2]), 0, n - 1, n // 3}:
+    for i in {int(np.argsort(index.sizes, kind="stable")[n // 2]), 0, n - 1, n // 3}:
         tried.add(i)
         look_up(i)
     largest = max(range(n), key=lambda i: merged.size[merged.find(i)])
@@ -221,6 +231,20 @@ def spanning_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple
     return links
 
 
+def crossing_links(some: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """some and others: a component so far, and a set. Links between the two lists that join components, by number."""
+    place = {c: i for i, c in enumerate(dict.fromkeys(c for c, _ in [*some, *others]))}
+    index, merged, links = _Index([s for _, s in others]), _Merged(len(place)), []
+    for i, (component, own) in enumerate(some):
+        for j in index.linked(own).tolist():
+            if merged.join(place[component], place[others[j][0]]):
+                links.append((i, j))
+    return links
+
+
+LINKS = "u long, v long"
+
+
 def links(docs: DataFrame, sketched: DataFrame, width: int = WIDTH, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """u, v: verified links between sets' ids that connect what all links connect."""
     ties = components(proposals(sketched))
@@ -229,43 +253,97 @@ def links(docs: DataFrame, sketched: DataFrame, width: int = WIDTH, block: int =
         own = own.join(F.broadcast(ties.select("id")), "id", "left_semi")
     nodes = own.groupBy("id").agg(F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("rep"))
     members = materialize(ties.join(nodes, "id").select("id", "root", "n", "rep.k1", "rep.k2"), "members", shrink=8)
-    # Clusters of moderate size are one block; larger ones are dealt out, each pair of blocks to a task.
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / block_shingles)).cast("int")
-    sizes = sizes.select("root", F.col("s").alias("weight"), blocks.alias("blocks"))
-    dealt = members.join(sizes, "root").select("id", "k1", "k2", "root", "blocks", "weight", _block_pairs("id").alias("tasks"))
-    count = members.count()
-    if count <= BROADCAST_MEMBERS:
-        dealt = F.broadcast(dealt)
+    sizes = members.groupBy("root").agg(_blocks(block, block_shingles).alias("blocks"))
+    dealt = members.join(sizes, "root")
+    rows = _with_texts(docs, dealt.filter("blocks = 1").select("id", "root", "k1", "k2", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("asks"), F.lit(0).cast("long").alias("component")))
+    out = _in_tasks(rows, width, lambda asking, asked: [(asked[a][0], asked[b][0]) for a, b in spanning_links([s for _, _, s in asked])])
+    large = materialize(dealt.filter("blocks > 1"), "large", shrink=8)
+    if not large.count():
+        drop(large)
+        return out
+    by_hub = materialize(_hub_links(docs, large, width), "hub_links", shrink=8)
+    return out.union(by_hub).union(_outside_links(docs, large, components(by_hub), width, block, block_shingles))
+
+
+def _blocks(block: int, block_shingles: int) -> Column:
+    """Blocks that a group of sets (n shingles each) is dealt into."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+
+
+def _hub_links(docs: DataFrame, large: DataFrame, width: int) -> DataFrame:
+    """u, v: links of large clusters' members with up to HUBS of them, drawn by a hash. Each hub goes to all blocks, every member to one."""
+    spot = F.struct(F.xxhash64("id").alias("h"), "id", "k1", "k2")
+    hubs = large.groupBy("root", "blocks", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("which")).agg(F.min(spot).alias("s"))
+    hubs = hubs.select("s.id", "root", "s.k1", "s.k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("asks"))
+    every = large.select("id", "root", "k1", "k2", _own_block("blocks").alias("i"), F.lit(0).alias("j"), F.lit(False).alias("asks"))
+    rows = _with_texts(docs, hubs.unionByName(every).withColumn("component", F.col("id")))
+    return _in_tasks(rows, width, _crossing)
+
+
+def _outside_links(docs: DataFrame, large: DataFrame, joined: DataFrame, width: int, block: int, block_shingles: int) -> DataFrame:
+    """u, v: links of the members that are outside the largest component of their cluster so far, with all members.
+
+    joined: id, root (the component so far). Blocks of those outside meet blocks of all.
+    """
+    known = joined.select("id", F.col("root").alias("component"))
+    state = large.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    state = materialize(state, "state", shrink=8)
+    counts = state.groupBy("root", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("root").agg(F.max(F.struct("c", "component")).alias("m")).select("root", F.col("m.component").alias("main"))
+    outside = materialize(state.join(main, "root").filter("component != main").drop("main"), "outside", shrink=8)
+    asking = outside.groupBy("root").agg(_blocks(block, block_shingles).alias("ask_blocks"))
+    one, other = _own_block("ask_blocks"), _own_block("blocks")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asks = outside.join(asking, "root").select("id", "root", "k1", "k2", "component", one.alias("i"), F.explode(every("blocks")).alias("j"), F.lit(True).alias("asks"))
+    asked = state.join(asking, "root").select("id", "root", "k1", "k2", "component", F.explode(every("ask_blocks")).alias("i"), other.alias("j"), F.lit(False).alias("asks"))
+    return _in_tasks(_with_texts(docs, asks.unionByName(asked)), width, _crossing)
+
+
+def _own_block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(5)), F.col(blocks)).cast("int")
+
+
+def _crossing(asking: list, asked: list) -> list[tuple[int, int]]:
+    if not asking or not asked:
+        return []
+    found = crossing_links([(c, s) for _, c, s in asking], [(c, s) for _, c, s in asked])
+    return [(asking[i][0], asked[j][0]) for i, j in found]
+
+
+def _with_texts(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """dealt (id, root, i, j, asks, component, k1, k2) with the texts of their rows. Few ids are broadcast, after a count."""
     texts = keyed(docs).select("k1", "k2", "text")
-    rows = texts.join(dealt, ["k1", "k2"]).select("id", "root", "text", F.explode("tasks").alias("task"))
-    rows = rows.select("id", "root", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "text")
-    rows = rows.repartition(partitions(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
-    schema = "u long, v long"
-    target = arrow_schema(schema)
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_MEMBERS else dealt
+    return texts.join(dealt, ["k1", "k2"]).select("id", "root", "i", "j", "asks", "component", "text")
+
+
+def _in_tasks(rows: DataFrame, width: int, find) -> DataFrame:
+    """find(asking, asked), lists of (id, component, set), for the rows of each (root, i, j); rows of one id count once."""
+    rows = rows.repartition(partitions(rows.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "asks", "id")
+    target = arrow_schema(LINKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import sketch
 
-        words, held, ids, sets = memo("shingles", sketch.Words), None, [], []
+        words, held, lists, last = memo("shingles", sketch.Words), None, ([], []), None
 
         def close() -> pa.RecordBatch:
-            found = spanning_links(sets)
-            return record_batch({"u": [ids[a] for a, _ in found], "v": [ids[b] for _, b in found]}, target)
+            found = find(lists[1], lists[0])
+            return record_batch({"u": [u for u, _ in found], "v": [v for _, v in found]}, target)
 
         for batch in batches:
-            for node, *task, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for node, *task, asks, component, text in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if task != held:
-                    if len(ids) > 1:
+                    if held is not None:
                         yield close()
-                    held, ids, sets = task, [], []
-                if not ids or ids[-1] != node:
-                    ids.append(node)
-                    sets.append(sketch.shingles(text, words, width))
-        if len(ids) > 1:
+                    held, lists, last = task, ([], []), None
+                if last != (node, asks):  # not another row of the same set
+                    last = (node, asks)
+                    lists[asks].append((node, component, sketch.shingles(text, words, width)))
+        if held is not None:
             yield close()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, LINKS)
 
 
 def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -616,6 +616,7 @@ def test_near_duplicates(spark, block, shingles, members, monkeypatch):
     r.shuffle(texts)
     monkeypatch.setattr(neardup.links, "__defaults__", (neardup.WIDTH, block, shingles))
     monkeypatch.setattr(neardup, "BROADCAST_MEMBERS", members)
+    monkeypatch.setattr(neardup, "HOT", 3 if block == 5 else neardup.HOT)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.groups(docs(spark, texts)).collect()}
     assert got == brute.near_duplicates(dict(enumerate(texts)))
 

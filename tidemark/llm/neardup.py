@@ -47,6 +47,9 @@ BLOCK = 4000
 BLOCK_SHINGLES = 4_000_000
 BROADCAST_MEMBERS = 300_000
 HUBS = 4
+#: More pairs than this with one least document are dealt to SALT tasks.
+HOT = 1000
+SALT = 16
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -81,7 +84,14 @@ def proposals(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
     wanted = sketched.join(F.broadcast(ids) if pairs.count() <= BROADCAST_MEMBERS else ids, "id", "left_semi")
     regs = wanted.select("id", "n", "registers").dropDuplicates(["id"])
     first = pairs.join(regs.select("id", F.col("n").alias("n_a"), F.col("registers").alias("a")), "id")
-    both = first.join(regs.select(F.col("id").alias("low"), F.col("n").alias("n_b"), F.col("registers").alias("b")), "low")
+    # A least one with very many pairs is repeated for each salt, so that its pairs are dealt out; there are at most pairs / HOT of them.
+    hot = pairs.groupBy("low").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("low", F.lit(SALT).alias("salts"))
+    hot = materialize(hot, "hot", shrink=16)
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_MEMBERS else hot
+    lows = regs.select(F.col("id").alias("low"), F.col("n").alias("n_b"), F.col("registers").alias("b")).join(hot, "low", "left")
+    lows = lows.select("low", "n_b", "b", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    first = first.join(hot, "low", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    both = first.join(lows, ["low", "salt"])
 
     def estimate(batch):
         from . import sketch

@@ -48,7 +48,7 @@ class WordTokenizer:
         rest = [(c, _WORDS.findall(c)) for c in chunks.difference(plain, [m[0] for m in marked])]
         unknown = set(plain)
         unknown.update([w for _, w, _ in marked], [m for _, _, m in marked], *[ws for _, ws in rest])
-        unknown.difference_update(memo)
+        unknown = unknown.difference(memo)  # in place, this would walk through the whole memo
         words = list(unknown)
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]

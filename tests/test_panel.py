@@ -87,3 +87,12 @@ def test_cap(spark):
 def test_csv_ids_keep_zeros(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,x\n00123,1\n")
     assert readers.read(spark, str(tmp_path / "a.csv"), text_columns=("id",)).first()["id"] == "00123"
+
+
+def test_orphans_are_events_without_an_entity(spark):
+    from tidemark.sources import readers
+
+    events = spark.createDataFrame([("a", 1), ("b", 2), ("zz", 3), ("zz", 4), (None, 5)], "id string, n int")
+    people = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert sorted(r["n"] for r in readers.orphans(events, people, "id").collect() if r["id"] is not None) == [3, 4]
+    assert readers.orphans(events.filter("id in ('a', 'b')"), people, "id").count() == 0
